@@ -4,13 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlpit.llm import substrings
+from marlpit.llm import decontaminate, fingerprints, fixity, mixing, neardup, rules, substrings
 from marlpit.llm.shared import table
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_groups(table(spark, sf_dir, "documents"))
+
+
+def op4_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.remove_seen(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), entropy=0.97, repeats=2.0).select("doc_id", "source", "tokens", "weight", "quota", "copies")
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
-QUERIES = {f.__name__: f for f in (op7_suffix_array_dedup,)}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op9_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return fixity.audit(fixity.warc_records(pages), fixity.warc_records(fixity.damaged(pages)))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op4_fingerprint_index, op6_source_mixing, op7_suffix_array_dedup, op8_decontamination, op9_merkle_fixity, op10_quality_rules)}
 SQL: dict[str, str] = {}
