@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from marlpit.llm import windows as W
-from marlpit.llm.shared import keyed, map_batches, stored
+from marlpit.llm.shared import keyed, map_batches
 from marlpit.llm.textkit import cover, slices
 
 
@@ -30,10 +30,9 @@ def remove_repeats(documents: DataFrame, threshold: int = 200, gram: int = 24) -
     spec = W.Spec(threshold, min(gram, threshold), "byte")
     docs = keyed(documents)
     table = W.block_table(docs, spec)
-    live = stored(W.live_classes(W.class_table(table)), "live")
-
-    bodies = W.opened(docs, live, spec)
-    spans = W.repeated_spans(table, live, W.repeated_in_classes(bodies, spec, earlier=False), spec, earlier=False)
+    live = W.live_blocks(table)
+    runs = W.repeated_in_classes(W.opened(docs, live, spec), spec, earlier=False)
+    spans = W.repeated_spans(live, runs, spec, earlier=False)
     both = docs.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
 
     def finish(batch):

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; one longer text is worked on alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 U = np.uint64
 _rng = np.random.default_rng(20240611)

@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marlpit.llm.shared import map_batches, stored
 from marlpit.llm.textkit import BYTE_CODE, SPACE_WORD, WORDS, WORDS2, Texts, mix, ragged, sliding_argmin, slices
@@ -98,15 +99,32 @@ def block_table(docs: DataFrame, spec: Spec) -> DataFrame:
     return stored(map_batches(docs.select("k1", "k2", "text"), run, "k1 long, k2 long, lo int, n short, off short, ah long, bk long"), "blocks")
 
 
-def class_table(table: DataFrame) -> DataFrame:
-    """Equal blocks as one class: its count, its least document and one member (k2, lo) of that document."""
-    return table.groupBy("ah", "bk").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "lo")).alias("rep"), F.first("n").alias("n"), F.first("off").alias("off"))
+#: An anchor with more than this share of all blocks is hot; so there are at most so many hot ones.
+HOT_SHARE = 1 / 100_000
+#: ... and none has fewer blocks than this.
+HOT_LEAST = 5000
 
 
-def live_classes(classes: DataFrame) -> DataFrame:
-    """Classes that can hold a repeat, with k, the number of classes of their anchor: those of several members or of a shared anchor."""
-    shared = classes.groupBy("ah").agg(F.count(F.lit(1)).alias("k"))
-    return classes.join(shared, "ah").filter((F.col("c") > 1) | (F.col("k") > 1))
+def live_blocks(table: DataFrame) -> DataFrame:
+    """The blocks that can hold a repeat, with c and least, their class's size and least k1, k, the number of classes of their anchor, and rn, their number in the class (1: its representative). Stored.
+
+    Blocks of an anchor meet in one task, sorted. Those of hot anchors, whose
+    number is bounded by ``HOT_SHARE``, are instead counted by class, partially
+    before the shuffle, and joined with the counts; Spark splits such joins.
+    """
+    count = table.groupBy("ah").agg(F.count(F.lit(1)).alias("blocks"))
+    limit = max(HOT_LEAST, int(table.count() * HOT_SHARE))
+    hot = F.broadcast(stored(count.filter(F.col("blocks") > limit).select("ah"), "hot"))
+    one, anchor = Window.partitionBy("ah", "bk"), Window.partitionBy("ah")
+    cool = table.join(hot, "ah", "left_anti").repartition("ah")
+    cool = cool.withColumn("rn", F.row_number().over(one.orderBy("k1", "k2", "lo"))).withColumns({"c": F.count(F.lit(1)).over(one), "least": F.min("k1").over(one)})
+    cool = cool.withColumn("k", F.sum(F.when(F.col("rn") == 1, 1).otherwise(0)).over(anchor)).filter("c > 1 or k > 1")
+    many = table.join(hot, "ah", "left_semi")
+    classes = many.groupBy("ah", "bk").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "lo")).alias("rep"))
+    classes = classes.join(F.broadcast(classes.groupBy("ah").agg(F.count(F.lit(1)).alias("k"))), "ah")
+    met = many.join(classes, ["ah", "bk"]).withColumns({"least": F.col("rep.k1"), "rn": F.when(F.struct("k1", "k2", "lo") == F.col("rep"), 1).otherwise(2)})
+    columns = [*table.columns, "c", "least", "k", "rn"]
+    return stored(cool.select(columns).unionByName(met.select(columns)), "live")
 
 
 def opened(docs: DataFrame, live: DataFrame, spec: Spec) -> DataFrame:
@@ -114,7 +132,7 @@ def opened(docs: DataFrame, live: DataFrame, spec: Spec) -> DataFrame:
 
     The body is the member's bytes, or for words the keys of its windows.
     """
-    wanted = live.filter("k > 1").select("rep.*", "ah", "bk", "c", "k", "n", "off").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "n", "off", "ah", "bk", "c", "k")).alias("blocks"))
+    wanted = live.filter("k > 1 and rn = 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "n", "off", "ah", "bk", "c", "k")).alias("blocks"))
     both = docs.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("k1", "text", "blocks")
 
     def run(batch):
@@ -241,18 +259,17 @@ def repeated_in_classes(bodies: DataFrame, spec: Spec, earlier: bool) -> DataFra
     return cool.unionByName(met.select("ah", "bk", F.col("w").alias("s"), F.lit(1).alias("m")))
 
 
-def repeated_spans(table: DataFrame, live: DataFrame, runs: DataFrame, spec: Spec, earlier: bool) -> DataFrame:
+def repeated_spans(live: DataFrame, runs: DataFrame, spec: Spec, earlier: bool) -> DataFrame:
     """k1, k2, spans: for each row, the unit spans covered by repeated windows.
 
     A class of several members is a repeat as a whole (``earlier``: for all but
     its least document); the others have the runs found for their class.
     """
-    found = live.select("ah", "bk", "c", F.col("rep.k1").alias("least")).join(runs.groupBy("ah", "bk").agg(F.collect_list(F.struct("s", "m")).alias("runs")), ["ah", "bk"], "left").filter("c > 1 or runs is not null")
     whole = F.col("k1") > F.col("least") if earlier else F.col("c") > 1
-    span = F.when(whole, F.array(F.struct(F.col("lo").alias("s"), (F.col("lo") + F.col("n") + F.lit(spec.length - 1)).alias("e")))).when(
-        F.col("runs").isNotNull(), F.transform("runs", lambda r: F.struct((F.col("lo") + r.s).alias("s"), (F.col("lo") + r.s + r.m + F.lit(spec.length - 1)).alias("e")))
-    )
-    return table.join(found, ["ah", "bk"]).select("k1", "k2", span.alias("x")).filter("x is not null").groupBy("k1", "k2").agg(F.flatten(F.collect_list("x")).alias("spans"))
+    span = lambda at, m: F.struct(at.alias("s"), (at + m + F.lit(spec.length - 1)).alias("e"))
+    all_ = live.filter(whole).select("k1", "k2", span(F.col("lo"), F.col("n").cast("int")).alias("x"))
+    some = live.filter(~whole & (F.col("k") > 1)).select("k1", "k2", "lo", "ah", "bk").join(runs, ["ah", "bk"]).select("k1", "k2", span(F.col("lo") + F.col("s"), F.col("m")).alias("x"))
+    return all_.unionByName(some).groupBy("k1", "k2").agg(F.collect_list("x").alias("spans"))
 
 
 def span_arrays(batch: pa.RecordBatch, column: str = "spans") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
