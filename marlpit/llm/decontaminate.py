@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,3 +138,17 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
             yield {"doc_id": ids.slice(texts.first, texts.n), "n_words": n, "n_hit": n_hit, "n_items": [len(x) for x in names], "items_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in listed], "contaminated": n_hit > 0, "items": [sorted(x) for x in names]}
 
     return map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+
+
+def keep_clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows, with all their columns, that hold no window of any item. A column named text is needed."""
+    spark = documents.sparkSession
+    blocks = [spark.sparkContext.broadcast(t) for t in test_blocks(benchmark, window)]
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                hit = np.concatenate([matches(texts, [b.value for b in blocks])[1] for texts in slices(batch.column("text"))])
+                yield batch.filter(pa.array(hit == 0))
+
+    return documents.mapInArrow(run, documents.schema)

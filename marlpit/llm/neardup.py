@@ -77,7 +77,7 @@ def with_count(tokens: DataFrame, key: str = "token") -> DataFrame:
 
 
 def similar_groups(documents: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id.
+    """Per document: doc_id, n_shingles, component_id, text_hash (xxhash64).
 
     Documents link when 100 * common shingles >= ``percent`` * all shingles of
     both. component_id is the least doc_id reachable over links, the document's
@@ -86,7 +86,7 @@ def similar_groups(documents: DataFrame, words: int = 5, percent: int = 75) -> D
     the largest, 2**63 - 1; repeated rows come once each and link; an empty
     table gives no rows.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("k1"), F.xxhash64("doc_id", "text").alias("uid"), "text")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("k1"), F.xxhash64("doc_id", "text").alias("uid"), F.xxhash64("text").alias("text_hash"), "text")
 
     def lead(batch):
         uid = np.asarray(batch.column("uid"))
@@ -112,14 +112,14 @@ def similar_groups(documents: DataFrame, words: int = 5, percent: int = 75) -> D
             ends = np.append(0, np.cumsum([len(s) for s in kept])).astype(np.int32)
             sig = [[int(mix(s, salt).sum()) & (2**64 - 1) for s in sets] for salt in (7, 8)]
             yield {
-                "doc_id": batch.column("doc_id").slice(texts.first, texts.n), "k1": k1[here], "rid": (part << 36) + count[0] + np.arange(texts.n), "uid": uid[here], "n": size, "live": keep,
+                "doc_id": batch.column("doc_id").slice(texts.first, texts.n), "k1": k1[here], "rid": (part << 36) + count[0] + np.arange(texts.n), "uid": uid[here], "text_hash": batch.column("text_hash")[here], "n": size, "live": keep,
                 "sig1": np.array(sig[0], np.uint64).view(np.int64), "sig2": np.array(sig[1], np.uint64).view(np.int64), "toks": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept).view(np.int64))),
             }
             count[0] += texts.n
 
     count = [0]
     every = docs.join(alive, "uid", "left").withColumn("live", F.coalesce("live", F.lit(0)))
-    sets = stored(map_batches(every, whole, "doc_id long, k1 long, rid long, uid long, n long, live boolean, sig1 long, sig2 long, toks array<long>"), "sets")
+    sets = stored(map_batches(every, whole, "doc_id long, k1 long, rid long, uid long, text_hash long, n long, live boolean, sig1 long, sig2 long, toks array<long>"), "sets")
     live = sets.filter("live")
     classes = live.groupBy("sig1", "sig2").agg(F.min("rid").alias("nid"), F.min("k1").alias("k1"))
     classes = stored(classes, "classes")
@@ -128,8 +128,8 @@ def similar_groups(documents: DataFrame, words: int = 5, percent: int = 75) -> D
     labels = _joined(ordered, percent)
     least = _least(labels, ordered)
     found = classes.join(least, "nid").select("sig1", "sig2", "component_id").unionByName(classes.join(least, "nid", "left_anti").select("sig1", "sig2", F.col("k1").alias("component_id")))
-    grouped = sets.filter("live").join(found, ["sig1", "sig2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return grouped.unionByName(sets.filter("not live").select("doc_id", F.col("n").alias("n_shingles"), F.col("k1").alias("component_id")))
+    grouped = sets.filter("live").join(found, ["sig1", "sig2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash")
+    return grouped.unionByName(sets.filter("not live").select("doc_id", F.col("n").alias("n_shingles"), F.col("k1").alias("component_id"), "text_hash"))
 
 
 def _least(labels: DataFrame, ordered: DataFrame) -> DataFrame:

@@ -121,6 +121,27 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 6000) -> Machin
     return fit([r[1:] for r in rows]) if rows else None
 
 
+def probabilities(texts: Texts, machine: Machine | None) -> np.ndarray:
+    """How likely each whole text is of quality 1."""
+    if machine is None:
+        return np.full(texts.n, 0.5)
+    _, x = statistics(texts)
+    row, slot, value = with_bins(*word_features(texts), x, machine.edges)
+    return 1 / (1 + np.exp(-np.clip(machine.raw(slot, value, row, texts.n), -30, 30)))
+
+
+def keep_good(documents: DataFrame, machine: Machine | None) -> DataFrame:
+    """The rows, with all their columns, whose score reaches the threshold. A column named text is needed."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                p = np.concatenate([probabilities(texts, machine) for texts in slices(batch.column("text"))])
+                yield batch.filter(pa.array(p >= THRESHOLD))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def score(documents: DataFrame, labels: DataFrame, sample: int = 6000) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted.
 
@@ -136,12 +157,7 @@ def score(documents: DataFrame, labels: DataFrame, sample: int = 6000) -> DataFr
     def run(batch):
         for texts in slices(batch.column("text")):
             here = slice(texts.first, texts.first + texts.n)
-            if machine:
-                _, x = statistics(texts)
-                row, slot, value = with_bins(*word_features(texts), x, machine.edges)
-                p = 1 / (1 + np.exp(-np.clip(machine.raw(slot, value, row, texts.n), -30, 30)))
-            else:
-                p = np.full(texts.n, 0.5)
+            p = probabilities(texts, machine)
             yield {"doc_id": batch.column("doc_id")[here], "held_out": batch.column("held_out")[here], "score": p, "predicted": (p >= THRESHOLD).astype(np.int32)}
 
     return map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text"), run, "doc_id long, held_out boolean, score double, predicted int")

@@ -35,6 +35,7 @@ def hard_cases(seed=3):
         for _ in range(rng.randint(0, 6)):
             w[rng.randrange(len(w))] = rng.choice(["zz", "qq", "ww"])
         docs.append(" ".join(w))
+    docs += ["go hu " * 200, "go hu " * 90 + passage, "it " + "go hu " * 120, "x" * 500, "x" * 300 + passage]
     docs += [prose(rng, 20000), "é" * 150 + "\n" + "é" * 150, "Tab\tand\x0bvt " + other]
     rows = [(i * 7 % 101 - 3, t) for i, t in enumerate(docs)]
     return [*rows, rows[8], rows[8], (rows[11][0], "the same id, another text " + passage), (None, passage), (None, None)]

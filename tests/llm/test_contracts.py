@@ -1,9 +1,12 @@
 """Operators against their plain versions, on hard cases and on the smallest tables."""
 
+import random
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
-from marlpit.llm import decontaminate, fingerprints, neardup, rules, substrings, windows
+from marlpit.llm import decontaminate, fingerprints, identifiers, neardup, quality, rules, substrings, tokenfiles, windows
 
 from tests.conftest import SF
 from tests.llm import brute
@@ -67,3 +70,67 @@ def test_no_rows(spark):
     assert decontaminate.decontaminate(none, bench).count() == 0
     assert not decontaminate.decontaminate(brute.frame(spark, [(1, "a b")]), bench).first().contaminated
     assert rules.quality_rules(none, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+
+
+def personal_rows():
+    rng = random.Random(4)
+    bits = ["a@b.co", "x@y", "a@b.c_d@e.f.g", "@@", "me+you%1@mail-9.example.org.", "1.2.3.4", "1.2.3.4.5.6.7.8", "999.1.1.1", "0255.1.2.3", "1..2.3.4", "4111 1111 1111 1111", "4111-1111-1111-1112", "4111111111111111 22", "+1 (555) 010-9999", "+1", "++49 30 1234567.", "+1+2 333 444 55 66", "call", "tel", "né", "日本", "12345", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7", "9" * 3000, ".", ",", "\n"]
+    rows = [(i, " ".join(rng.choice(bits) for _ in range(rng.randint(0, 30)))) for i in range(150)]
+    return [*rows, (None, None), (5, ""), (7, "a@b.co" * 50), (8, "tel +1 555 010 9999 " * 5)]
+
+
+def test_op3(spark, docs, rows):
+    for data, frame in ((rows, docs), (personal_rows(), brute.frame(spark, personal_rows()))):
+        out = identifiers.find_personal_data(frame)
+        assert got(out, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == brute.op3(data)
+
+
+def test_contexts_discover(spark):
+    rows = [(i, f"please call +1 555 010 {1000 + i} now") for i in range(20)] + [(100, "please call 0555-010-777 now"), (101, "room 0555-010-777x of 12345")]
+    spans = {r.doc_id: r.spans for r in identifiers.find_personal_data(brute.frame(spark, rows)).collect()}
+    assert spans[100] == "phone:12:24" and spans[101] == "" and spans[3] == "phone:12:27"
+
+
+def test_op5(spark, docs, rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, at, want = Tokenizer.from_file(path), 0, Counter()
+    extra = [(5000, "a<|endoftext|>b, don't!  \n\n x"), (5001, "\u00a0\u2003 é\u00a0 x\u3000y\t\tz ÷ ×, 1,2"), (5002, "'s's 'S it's\r\n ,,a.b"), (5003, "日本 語。 ñ, ü\u0085 b")]
+    data = [r for r in rows if r[0] is not None and r[0] not in (rows[8][0], rows[11][0])] + extra
+    for d, t in sorted(data):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        want[(d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))] += 1
+        at += len(ids)
+    assert got(tokenfiles.read_tokens(tokenfiles.write_tokens(brute.frame(spark, data), path)), "doc_id", "start", "n_tokens", "ids_crc32") == want
+
+
+@pytest.mark.parametrize("bits", [False, True])
+def test_plane_file(bits):
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 7, tokenfiles.BLOCK, 3 * tokenfiles.BLOCK + 5):
+        ids = rng.integers(0, 2**32, n, dtype=np.uint32)
+        data = tokenfiles.write_file(ids, [None, 4], np.array([n, 0]), bits)
+        back, names, sizes = tokenfiles.read_file(data)
+        assert (back == ids).all() and names == [None, 4] and sizes.tolist() == [n, 0]
+        if n > tokenfiles.BLOCK:
+            assert (tokenfiles.read_file(data, range(1, 2))[0] == ids[tokenfiles.BLOCK : 2 * tokenfiles.BLOCK]).all()
+    with pytest.raises(ValueError):
+        tokenfiles.read_file(b"x" * 80)
+
+
+def test_op2(spark, docs, rows):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    out = quality.score(docs, labels).collect()
+    assert len(out) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in out)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out)
+    assert quality.score(brute.frame(spark, []), labels).count() == 0
+    assert quality.score(docs, labels.limit(0)).first().score == 0.5
+
+
+def test_op2_held_out(spark):
+    sf = SF.replace("0.001", "0.1")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out = quality.score(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id").filter("held_out").toPandas()
+    assert (out.predicted == out.quality).mean() > 0.97
