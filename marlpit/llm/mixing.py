@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlpit.llm.shared import stored
+
+#: Columns that mixing adds; it takes the place of columns of these names.
+MIXED = ("tokens", "source_tokens", "weight", "quota", "copies")
+
 
 def temperature(tokens: dict[str, int], entropy: float | None = None, repeats: float | None = None, budget: int | None = None) -> tuple[float, dict[str, float]]:
     """The exponent and the normalised weights share**exponent of each source.
@@ -51,45 +56,58 @@ def temperature(tokens: dict[str, int], entropy: float | None = None, repeats: f
     return exponent, weights(exponent)
 
 
-def mix_sources(documents: DataFrame, entropy: float | None = None, repeats: float | None = 2.0, budget_share: float = 1.0, seed: int = 17, block_tokens: int = 1 << 20) -> DataFrame:
+def mix_sources(documents: DataFrame, **options) -> DataFrame:
     """Per document: its columns and source_tokens, weight, quota, tokens, copies.
 
     Tokens are words (runs of non-blanks). Each source gets weight * budget
     tokens, budget being ``budget_share`` of all. Its documents stand in a
     permutation of blocks, each block a permutation of its documents, both by a
     seeded hash of id and text; whole passes give every document a copy and the
-    last pass runs until the quota is reached, so a source misses its quota by
-    less than one document. A document has ``copies`` >= 0; documents without
-    words have one copy if their source is passed at least once in full, else
-    they follow their place. A missing source counts as one source of its own;
-    repeated rows count each; an empty table gives no rows.
+    last pass runs until the quota is reached, so a source exceeds its quota by
+    less than one document. Documents without words follow their place; a
+    missing source is a source of its own; equal rows stand in one place and
+    get as many copies each; an empty table gives no rows.
+
+    ``options`` are those of ``placed_copies``. A column of a name that is added
+    here is replaced. Only sums per block and the one block of each source in which its last
+    pass ends are shuffled; texts are not. The bisection needs the sources'
+    token counts, a row each, on the driver.
     """
-    hidden = [f"_{c}" for c in ("src", "h", "b", "at", "before")]
+    out = placed_copies(documents, **options)
+    return out.select(*(c for c in documents.columns if c not in MIXED), *(F.col(f"__{c}").alias(c) for c in MIXED))
+
+
+def placed_copies(documents: DataFrame, entropy: float | None = None, repeats: float | None = 2.0, budget_share: float = 1.0, seed: int = 17, block_tokens: int = 1 << 20) -> DataFrame:
+    """The documents' columns and, named with two underscores before them, those of ``mix_sources``."""
     docs = documents.withColumns({
-        "_src": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")),
-        "tokens": F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+"))).cast("long"),
-        "_h": F.xxhash64(F.lit(seed), "doc_id", "text"),
+        "__src": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")),
+        "__tokens": F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+"))).cast("long"),
+        "__h": F.xxhash64(F.lit(seed), "doc_id", "text"),
     })
-    sizes = {r["_src"]: r["n"] for r in docs.groupBy("_src").agg(F.sum("tokens").alias("n")).collect()}
+    sizes = {r["__src"]: r["n"] for r in docs.groupBy("__src").agg(F.sum("__tokens").alias("n")).collect()}
     budget = int(sum(sizes.values()) * budget_share)
     _, weights = temperature(sizes, entropy, repeats, budget)
-    spark = documents.sparkSession
-    plan = spark.createDataFrame(
-        [(s, n, weights.get(s, 0.0), math.floor(weights.get(s, 0.0) * budget), max(1, -(-n // block_tokens))) for s, n in sorted(sizes.items())],
-        "_src string, source_tokens long, weight double, quota long, blocks long",
+    quota = {s: math.floor(weights.get(s, 0.0) * budget) for s in sizes}
+    plan = documents.sparkSession.createDataFrame(
+        [(s, n, weights.get(s, 0.0), quota[s], quota[s] // n if n else 0, quota[s] % n if n else 0, -(-n // block_tokens) or 1) for s, n in sorted(sizes.items())],
+        "__src string, __source_tokens long, __weight double, __quota long, __whole long, __rest long, __blocks long",
     )
-    docs = docs.join(F.broadcast(plan), "_src").withColumn("_b", F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), F.col("blocks")))
-    # tokens before each block, from one row a block; then before each document, within its block alone
-    blocks = docs.groupBy("_src", "_b").agg(F.sum("tokens").alias("n"))
-    start = blocks.select("_src", "_b", (F.sum("n").over(Window.partitionBy("_src").orderBy("_b")) - F.col("n")).alias("_at"))
-    inner = Window.partitionBy("_src", "_b").orderBy("_h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = docs.join(start, ["_src", "_b"]).withColumn("_before", F.col("_at") + F.sum("tokens").over(inner) - F.col("tokens"))
-    whole = F.when(F.col("source_tokens") > 0, F.expr("quota div source_tokens")).otherwise(0)
-    rest = F.col("quota") - whole * F.col("source_tokens")
-    copies = (whole + F.when(F.col("_before") < rest, 1).otherwise(0)).cast("long")
-    return placed.withColumn("copies", copies).drop(*hidden, "blocks")
-
-
-def realised(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each document as often as its ``copies`` say."""
-    return mixed.filter("copies > 0").withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*columns)
+    placed = docs.join(plan, "__src").withColumn("__b", F.pmod(F.xxhash64(F.lit(seed + 1), "__h"), F.col("__blocks")))
+    # the block of each source in which the last pass ends, from one row a block
+    blocks = placed.groupBy("__src", "__b", "__rest").agg(F.sum("__tokens").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("__src").orderBy("__b"))
+    last = stored(blocks.withColumn("__at", so_far - F.col("n")).filter((F.col("__at") < F.col("__rest")) & (F.col("__at") + F.col("n") >= F.col("__rest"))).select("__src", F.col("__b").alias("__cb"), "__at"), "last")
+    # the first place in that block before which the quota is reached
+    inside = placed.join(last, (placed["__src"] == last["__src"]) & (F.col("__b") == F.col("__cb"))).groupBy(placed["__src"].alias("__src"), "__rest", "__at", "__h").agg(F.sum("__tokens").alias("n"))
+    before = F.col("__at") + F.sum("n").over(Window.partitionBy("__src").orderBy("__h").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    stop = inside.withColumn("__before", before).filter("__before >= __rest").groupBy("__src").agg(F.min("__h").alias("__ch"))
+    cut = stored(plan.join(last.drop("__at"), "__src", "left").join(stop, "__src", "left").select("__src", F.coalesce("__cb", F.lit(-1)).alias("__cb"), "__ch"), "cut")
+    out = placed.join(cut, "__src")
+    extra = (F.col("__b") < F.col("__cb")) | ((F.col("__b") == F.col("__cb")) & (F.col("__ch").isNull() | (F.col("__h") < F.col("__ch"))))
+    return out.withColumn("__copies", F.col("__whole") + F.when(extra, 1).otherwise(0))
+
+
+def realised(documents: DataFrame, **options) -> DataFrame:
+    """Each document as often as its copies say, with its own columns alone."""
+    out = placed_copies(documents, **options).filter("__copies > 0")
+    return out.withColumn("__c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(documents.columns)

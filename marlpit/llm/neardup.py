@@ -77,7 +77,7 @@ def with_count(tokens: DataFrame, key: str = "token") -> DataFrame:
 
 
 def similar_groups(documents: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, text_hash (xxhash64).
+    """Per document: doc_id, n_shingles, component_id, text_hash (xxhash64), group_id (a number shared by linked rows only).
 
     Documents link when 100 * common shingles >= ``percent`` * all shingles of
     both. component_id is the least doc_id reachable over links, the document's
@@ -127,15 +127,15 @@ def similar_groups(documents: DataFrame, words: int = 5, percent: int = 75) -> D
     ordered = _ordered(reps, percent)
     labels = _joined(ordered, percent)
     least = _least(labels, ordered)
-    found = classes.join(least, "nid").select("sig1", "sig2", "component_id").unionByName(classes.join(least, "nid", "left_anti").select("sig1", "sig2", F.col("k1").alias("component_id")))
-    grouped = sets.filter("live").join(found, ["sig1", "sig2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash")
-    return grouped.unionByName(sets.filter("not live").select("doc_id", F.col("n").alias("n_shingles"), F.col("k1").alias("component_id"), "text_hash"))
+    found = classes.join(least, "nid", "left").select("sig1", "sig2", F.coalesce("component_id", "k1").alias("component_id"), F.coalesce("label", "nid").alias("group_id"))
+    grouped = sets.filter("live").join(found, ["sig1", "sig2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash", "group_id")
+    return grouped.unionByName(sets.filter("not live").select("doc_id", F.col("n").alias("n_shingles"), F.col("k1").alias("component_id"), "text_hash", F.col("rid").alias("group_id")))
 
 
 def _least(labels: DataFrame, ordered: DataFrame) -> DataFrame:
-    """nid, component_id: the least k1 of each component, counted before the shuffle."""
+    """nid, label, component_id: the least k1 of each component, counted before the shuffle."""
     both = labels.join(ordered.select("nid", "k1"), "nid")
-    return both.join(both.groupBy("label").agg(F.min("k1").alias("component_id")), "label").select("nid", "component_id")
+    return both.join(both.groupBy("label").agg(F.min("k1").alias("component_id")), "label").select("nid", "label", "component_id")
 
 
 def _ordered(reps: DataFrame, percent: int) -> DataFrame:

@@ -16,7 +16,7 @@ def tokenizer_path() -> str:
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.similar_groups(table(spark, sf_dir, "documents")).drop("text_hash")
+    return neardup.similar_groups(table(spark, sf_dir, "documents")).drop("text_hash", "group_id")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
