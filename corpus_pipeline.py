@@ -14,11 +14,7 @@ from pyspark.sql import functions as F
 
 from marlpit.llm import decontaminate, mixing, neardup, quality, tokenfiles
 from marlpit.llm.queries import tokenizer_path
-from marlpit.llm.shared import id_key, shared_dir, table
-
-
-def _row_key():
-    return [id_key().alias("_k1"), F.xxhash64("text").alias("_k2")]
+from marlpit.llm.shared import NO_ID, id_key, shared_dir, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +24,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of least doc_id, of rows that share it the first by text."""
-    groups = neardup.similar_groups(docs)
-    # representatives carry their component's least id; rows of one id but different texts and groups keep apart by the text's hash
-    keep = groups.filter(F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("component_id")).groupBy("component_id").agg(F.min("text_hash").alias("h"))
-    chosen = keep.select(F.col("component_id").alias("_k1"), F.col("h").alias("_k2"))
-    keyed = docs.select("*", *_row_key())
-    return keyed.join(chosen, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(docs.columns)
+    """One document of each group of near duplicates: the one of least doc_id, among rows that share it the first by text."""
+    groups = neardup.similar_groups(docs).filter("n_shingles > 0")
+    first = groups.groupBy("group_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("__k1"), F.col("text_hash").alias("__k2"))).alias("x")).select("x.*")
+    keyed = docs.withColumns({"__k1": id_key(), "__k2": F.xxhash64("text"), "__words": F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))})
+    kept = keyed.filter("__words").join(first.distinct(), ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])
+    return kept.unionByName(keyed.filter("not __words")).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's weight asks for."""
-    return mixing.realised(mixing.mix_sources(docs, entropy=0.97, repeats=2.0), docs.columns)
+    return mixing.realised(docs, entropy=0.97, repeats=2.0)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
