@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlpit.llm import decontaminate, fingerprints, fixity, identifiers, mixing, neardup, quality, rules, substrings, tokenfiles
+from marlpit.llm import decontaminate, fingerprints, fixity, identifiers, mixing, neardup, oracles, quality, rules, substrings, tokenfiles
 from marlpit.llm.shared import table
 
 
@@ -63,4 +63,11 @@ QUERIES = {
         op6_source_mixing, op7_suffix_array_dedup, op8_decontamination, op9_merkle_fixity, op10_quality_rules,
     )
 }
-SQL: dict[str, str] = {}
+#: The others are trained, iterated or tokenised; they are tested against plain versions.
+SQL = {
+    "op1_jaccard_join": oracles.JACCARD,
+    "op4_fingerprint_index": oracles.FINGERPRINTS,
+    "op7_suffix_array_dedup": oracles.SUBSTRINGS,
+    "op8_decontamination": oracles.DECONTAMINATION,
+    "op9_merkle_fixity": oracles.FIXITY,
+}
