@@ -6,6 +6,7 @@ import json
 import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -113,14 +114,18 @@ class Encoder:
             return [t.id for t in self.model.tokenize(data.decode("latin-1").translate(self.letters))]
         return self.tokenizer.encode(data.decode(), add_special_tokens=False).ids
 
-    def _add(self, number: int, ids: list[int]) -> None:
-        while self.used + len(ids) > len(self.flat):
+    def _store(self, number: int, ids: list[list[int]]) -> None:
+        """Puts the ids of the units from ``number`` on behind those in use."""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(sizes.sum())
+        while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if number >= len(self.at):
+        while number + len(ids) > len(self.at):
             self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.at[number], self.size[number] = self.used, len(ids)
-        self.used += len(ids)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.size[number : number + len(ids)] = sizes
+        self.at[number : number + len(ids)] = self.used + np.cumsum(sizes) - sizes
+        self.used += total
 
     def encode(self, texts) -> list[np.ndarray]:
         """The ids of each text of a slice."""
@@ -151,27 +156,19 @@ class Encoder:
         raw = data.tobytes()
         get, known = self.known.get, self.known
         names = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        numbers, base, mark, extra = [], len(known), self.used, 0
-        for name in names:
-            number = get(name)
-            if number is None:
-                if base < CACHE_UNITS:
-                    number = base
-                    known[name] = number
-                    base += 1
-                    mark = self.used + 0
-                    self._add(number, self.unit(name))
-                    mark = self.used
-                else:  # past the cache: only for this slice
-                    number = base + extra
-                    extra += 1
-                    self._add(number, self.unit(name))
-            numbers.append(number)
+        numbers = [get(name, -1) for name in names]
+        missing = [i for i, number in enumerate(numbers) if number < 0]
+        base, mark = len(known), self.used
+        self._store(base, [self.unit(names[i]) for i in missing])
+        for number, i in enumerate(missing, base):
+            numbers[i] = number
+        lasting = missing[: max(0, CACHE_UNITS - base)]  # the others serve this slice only
+        known.update(zip([names[i] for i in lasting], range(base, base + len(lasting)), strict=True))
+        mark += int(self.size[base : base + len(lasting)].sum())
         which = np.array(numbers, np.int64)[group]
         size = self.size[which]
         ids = self.flat[ragged(self.at[which], size)]
-        if extra:
-            self.used = mark
+        self.used = mark
         at = np.append(0, np.cumsum(size))[np.append(np.searchsorted(starts, offsets[:-1]), len(starts))]
         out = [ids[at[i] : at[i + 1]] for i in range(texts.n)]
         for word in self.special:
@@ -216,7 +213,7 @@ def write_tokens(documents: DataFrame, path: str, end_id: int = 0, bits: bool =
 
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
-            for texts in slices(batch.column("text")):
+            for texts in slices(batch.column("text"), 1 << 20):
                 for i, own in enumerate(coder.encode(texts)):
                     ids += [own, end]
                     names.append(keys[texts.first + i])
