@@ -77,7 +77,8 @@ def sort_keys(df: DataFrame, key: Column | str, ascending: bool = True) -> list[
     if ascending:
         return [column.asc_nulls_last()]
     floats = isinstance(df.select(column.alias("k")).schema[0].dataType, (FloatType, DoubleType))
-    return [*([F.isnan(column).asc_nulls_last()] if floats else []), column.desc_nulls_last()]
+    last = [F.when(column.isNull(), 2).when(F.isnan(column), 1).otherwise(0)] if floats else []
+    return [*last, column.desc_nulls_last()]
 
 
 def limit(df: DataFrame, n: int) -> DataFrame:

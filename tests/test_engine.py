@@ -38,7 +38,8 @@ def test_registry(engine):
 
 def test_sql_standard_meaning(engine):
     rows = lambda q: [tuple(r) for r in engine.sql(q).collect()]
-    assert rows("SELECT name, SUM(value) * 2 AS s FROM t GROUP BY name HAVING COUNT(*) > 1 ORDER BY SUM(value);") == [("alice", 80), ("bob", 120)]
+    assert rows("SELECT name, SUM(value) * 2 AS s FROM t GROUP BY name HAVING COUNT(*) > 1 ORDER BY s;") == [("alice", 80), ("bob", 120)]
+    assert rows("SELECT name FROM t GROUP BY name ORDER BY SUM(value) DESC, name") == [("bob",), ("carol",), ("alice",)]
     assert rows("SELECT a.id FROM t a LEFT JOIN t b ON a.id = b.id + 3 WHERE b.id IS NULL ORDER BY a.id") == [(1,), (2,), (3,)]
     assert rows("SELECT COUNT(*) AS n, SUM(id) AS s FROM t WHERE id > 99") == [(0, None)]
 
