@@ -32,6 +32,15 @@ def test_op1(docs, rows):
     assert got(neardup.similar_groups(docs), "doc_id", "n_shingles", "component_id") == brute.op1(rows)
 
 
+@pytest.mark.parametrize("setting", [{"HOT_LEAST": 0, "SAMPLE": 2}, {"ROUNDS": 0}, {"FIRST_MATCHES": 1, "MATCHES": (1,)}])
+def test_op1_other_settings(spark, monkeypatch, setting):
+    """Hot tokens, no pivots and single matches change nothing in the result."""
+    for name, value in setting.items():
+        monkeypatch.setattr(neardup, name, value)
+    rows = brute.hard_cases(9)
+    assert got(neardup.similar_groups(brute.frame(spark, rows)), "doc_id", "n_shingles", "component_id") == brute.op1(rows)
+
+
 @pytest.mark.parametrize("batches", [1, 2, 7])
 def test_op4(docs, rows, batches):
     out = fingerprints.remove_seen(docs, batches=batches)
