@@ -38,9 +38,9 @@ from marlpit.llm.textkit import SPACE_WORD, WORDS, Texts, mix, ragged, slices
 FIRST_MATCHES = 24
 #: Numbers of matches that the join chooses from for each document.
 MATCHES = (1, 2, 4, 8, 16, 32)
-#: A token is hot if a sample of one document in SAMPLE has it in more than this share of the sample's tokens; there are at most so many hot ones.
+#: A token is hot if it makes up more than this share of the tokens of a sample, one document in SAMPLE; so there are at most so many hot ones.
 SAMPLE, HOT_SHARE, HOT_LEAST = 32, 1 / 100_000, 100
-ROUNDS = 3
+ROUNDS = 2
 
 
 def shingle_sets(texts: Texts, words: int) -> list[np.ndarray]:
@@ -61,19 +61,21 @@ def needed(n, percent: int):
     return (n * percent + 99) // 100
 
 
-def with_count(tokens: DataFrame, key: str = "token") -> DataFrame:
-    """Adds c, how many rows have the token, and drops tokens of one row.
+def with_count(tokens: DataFrame, sample: DataFrame) -> DataFrame:
+    """Adds c, how many rows have the token, and drops tokens that only one owner has.
 
-    Tokens found hot in a sample, a bounded list, are counted before the
-    shuffle; all others meet in a task each.
+    Rows of a token meet in one task, but for hot ones, a bounded list found in
+    ``sample``, tokens of one row in SAMPLE: they are dealt out, kept as shared,
+    and c is estimated. That only decides order and effort, never a result.
     """
-    sample = tokens.filter(F.pmod(F.col("uid"), F.lit(SAMPLE)) == 0)
     limit = F.greatest(F.lit(HOT_LEAST), (F.col("n") * HOT_SHARE).cast("long"))
-    hot = stored(sample.groupBy(key).agg(F.count(F.lit(1)).alias("s")).crossJoin(F.broadcast(sample.agg(F.count(F.lit(1)).alias("n")))).filter(F.col("s") > limit).select(key), "hot")
-    cool = tokens.join(F.broadcast(hot), key, "left_anti").withColumn("c", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    many = tokens.join(F.broadcast(hot), key, "left_semi")
-    count = many.groupBy(key).agg(F.count(F.lit(1)).alias("c"))
-    return cool.unionByName(many.join(F.broadcast(count), key).select(cool.columns)).filter("c > 1")
+    count = stored(sample.groupBy("token").agg(F.count(F.lit(1)).alias("s")), "sample")
+    hot = stored(count.crossJoin(F.broadcast(count.agg(F.sum("s").alias("n")))).filter(F.col("s") > limit).select("token", "s"), "hot")
+    salt = F.when(F.col("s").isNotNull(), F.pmod(F.xxhash64("owner"), F.lit(256))).otherwise(0)
+    one = Window.partitionBy("token", "salt")
+    met = tokens.join(F.broadcast(hot), "token", "left").withColumn("salt", salt)
+    met = met.withColumns({"c": F.coalesce(F.col("s") * SAMPLE, F.count(F.lit(1)).over(one)), "lo": F.min("owner").over(one), "hi": F.max("owner").over(one)})
+    return met.filter("s is not null or lo <> hi").drop("lo", "hi", "salt", "s")
 
 
 def similar_groups(documents: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
@@ -86,22 +88,26 @@ def similar_groups(documents: DataFrame, words: int = 5, percent: int = 75) -> D
     the largest, 2**63 - 1; repeated rows come once each and link; an empty
     table gives no rows.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("k1"), F.xxhash64("doc_id", "text").alias("uid"), F.xxhash64("text").alias("text_hash"), "text")
+    hashes = {"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")}
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("k1"), "text").withColumns(hashes | {"uid": F.xxhash64("k1", "t1")})
 
     def lead(batch):
-        uid = np.asarray(batch.column("uid"))
+        owner = np.asarray(batch.column("t1"))
         for texts in slices(batch.column("text")):
             sets = shingle_sets(texts, words)
             size = np.array([len(s) for s in sets])
             l = np.minimum(FIRST_MATCHES, np.maximum(needed(size, percent), 1))  # noqa: E741
             take = np.minimum(size, size - needed(size, percent) + l)
-            yield {"token": np.concatenate([s[:k] for s, k in zip(sets, take, strict=True)]).view(np.int64), "uid": np.repeat(uid[texts.first : texts.first + texts.n], take), "l": np.repeat(l, take).astype(np.int16)}
+            yield {"token": np.concatenate([s[:k] for s, k in zip(sets, take, strict=True)]).view(np.int64), "owner": np.repeat(owner[texts.first : texts.first + texts.n], take), "l": np.repeat(l, take).astype(np.int16)}
 
-    first = map_batches(docs.select("uid", "text"), lead, "token long, uid long, l short")
-    alive = with_count(first).groupBy("uid").agg(F.count(F.lit(1)).alias("m"), F.max("l").alias("l")).filter("m >= l").select("uid", F.lit(1).alias("live"))
+    first = lambda some: map_batches(some.select("t1", "text"), lead, "token long, owner long, l short")
+    alive = with_count(first(docs), first(docs.filter(F.pmod(F.col("uid"), F.lit(SAMPLE)) == 0))).groupBy(F.col("owner").alias("t1")).agg(F.count_distinct("token").alias("m"), F.max("l").alias("l")).filter("m >= l").select("t1")
+    # equal texts are one; the row of the least uid stands for them, if any other text may be similar
+    equal = docs.select("t1", "t2", "uid", "k1").groupBy("t1", "t2").agg(F.min("uid").alias("uid"), F.min("k1").alias("k1"))
+    equal = stored(equal.join(alive.withColumn("live", F.lit(1)), "t1", "left").withColumn("live", F.coalesce("live", F.lit(0))), "equal")
 
     def whole(batch):
-        live, k1, uid = (np.asarray(batch.column(c)) for c in ("live", "k1", "uid"))
+        live, k1, t1, t2 = (np.asarray(batch.column(c)) for c in ("live", "k1", "t1", "t2"))
         part = TaskContext.get().partitionId()
         for texts in slices(batch.column("text")):
             sets = shingle_sets(texts, words)
@@ -110,26 +116,26 @@ def similar_groups(documents: DataFrame, words: int = 5, percent: int = 75) -> D
             keep = (live[here] == 1) & (size > 0)
             kept = [s if k else s[:0] for s, k in zip(sets, keep, strict=True)]
             ends = np.append(0, np.cumsum([len(s) for s in kept])).astype(np.int32)
-            sig = [[int(mix(s, salt).sum()) & (2**64 - 1) for s in sets] for salt in (7, 8)]
+            sig = [[int(mix(s, salt).sum()) & (2**64 - 1) for s in kept] for salt in (7, 8)]
             yield {
-                "doc_id": batch.column("doc_id").slice(texts.first, texts.n), "k1": k1[here], "rid": (part << 36) + count[0] + np.arange(texts.n), "uid": uid[here], "text_hash": batch.column("text_hash")[here], "n": size, "live": keep,
+                "doc_id": batch.column("doc_id").slice(texts.first, texts.n), "k1": k1[here], "rid": (part << 36) + count[0] + np.arange(texts.n), "t1": t1[here], "t2": t2[here], "n": size, "live": keep,
                 "sig1": np.array(sig[0], np.uint64).view(np.int64), "sig2": np.array(sig[1], np.uint64).view(np.int64), "toks": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept).view(np.int64))),
             }
             count[0] += texts.n
 
     count = [0]
-    every = docs.join(alive, "uid", "left").withColumn("live", F.coalesce("live", F.lit(0)))
-    sets = stored(map_batches(every, whole, "doc_id long, k1 long, rid long, uid long, text_hash long, n long, live boolean, sig1 long, sig2 long, toks array<long>"), "sets")
-    live = sets.filter("live")
-    classes = live.groupBy("sig1", "sig2").agg(F.min("rid").alias("nid"), F.min("k1").alias("k1"))
-    classes = stored(classes, "classes")
-    reps = live.select(F.col("rid").alias("nid"), "n", "toks").join(classes.select("nid", "k1"), "nid")
+    every = docs.join(equal.filter("live = 1").select("uid", "live"), "uid", "left").withColumn("live", F.coalesce("live", F.lit(0)))
+    rows = stored(map_batches(every, whole, "doc_id long, k1 long, rid long, t1 long, t2 long, n long, live boolean, sig1 long, sig2 long, toks array<long>"), "sets")
+    live = rows.filter("live").join(equal.select("t1", "t2", F.col("k1").alias("tk1")), ["t1", "t2"])
+    classes = stored(live.groupBy("sig1", "sig2").agg(F.min("rid").alias("nid"), F.min("tk1").alias("k1")), "classes")
+    reps = rows.filter("live").select(F.col("rid").alias("nid"), "n", "toks").join(classes.select("nid", "k1"), "nid")
     ordered = _ordered(reps, percent)
-    labels = _joined(ordered, percent)
-    least = _least(labels, ordered)
-    found = classes.join(least, "nid", "left").select("sig1", "sig2", F.coalesce("component_id", "k1").alias("component_id"), F.coalesce("label", "nid").alias("group_id"))
-    grouped = sets.filter("live").join(found, ["sig1", "sig2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash", "group_id")
-    return grouped.unionByName(sets.filter("not live").select("doc_id", F.col("n").alias("n_shingles"), F.col("k1").alias("component_id"), "text_hash", F.col("rid").alias("group_id")))
+    found = classes.join(_least(_joined(ordered, percent), ordered), "nid", "left").select("sig1", "sig2", F.coalesce("component_id", "k1").alias("component_id"), F.coalesce("label", "nid").alias("group_id"))
+    found = live.select("t1", "t2", "sig1", "sig2").join(found, ["sig1", "sig2"]).drop("sig1", "sig2").distinct()
+    settled = equal.join(found, ["t1", "t2"], "left").select("t1", "t2", F.coalesce("component_id", "k1").alias("component_id"), F.coalesce("group_id", "uid").alias("group_id"))
+    some = rows.filter("n > 0").select("doc_id", "n", "t1", "t2").join(settled, ["t1", "t2"])
+    some = some.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("t1").alias("text_hash"), "group_id")
+    return some.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("k1").alias("component_id"), F.col("t1").alias("text_hash"), F.col("rid").alias("group_id")))
 
 
 def _least(labels: DataFrame, ordered: DataFrame) -> DataFrame:
@@ -140,13 +146,16 @@ def _least(labels: DataFrame, ordered: DataFrame) -> DataFrame:
 
 def _ordered(reps: DataFrame, percent: int) -> DataFrame:
     """nid, k1, n and toks (df, token; rarest first, only shared ones) of sets with enough shared tokens. Stored."""
-    tokens = with_count(reps.select(F.col("nid").alias("uid"), F.explode("toks").alias("token")))
-    shared = tokens.groupBy(F.col("uid").alias("nid")).agg(F.sort_array(F.collect_list(F.struct(F.col("c").cast("int").alias("df"), "token"))).alias("toks"))
+    tokens = reps.select(F.col("nid").alias("owner"), F.explode("toks").alias("token"))
+    tokens = with_count(tokens, tokens.filter(F.pmod(F.xxhash64("owner"), F.lit(SAMPLE)) == 0))
+    shared = tokens.groupBy(F.col("owner").alias("nid")).agg(F.sort_array(F.collect_list(F.struct(F.col("c").cast("int").alias("df"), "token"))).alias("toks"))
     return stored(reps.select("nid", "k1", "n").join(shared, "nid").filter(100 * F.size("toks") >= percent * F.col("n")), "ordered")
 
 
 def prefixes(ordered: DataFrame, percent: int) -> DataFrame:
-    """token, nid, n, l: the prefix entries of each set under the number of matches that costs it least.
+    """token, nid, n, s, l, pos: the prefix entries of each set under the number of matches that costs it least.
+
+    s is the number of its tokens that other sets have, pos the token's place among these.
 
     With l matches the prefix's lists hold cost(l) entries; about cost(l) / l
     candidates have enough matches, and each costs a pass over the set.
@@ -175,9 +184,10 @@ def prefixes(ordered: DataFrame, percent: int) -> DataFrame:
             out["token"].append(token[a : a + best[1]])
             out["take"].append(best[1])
             out["l"].append(best[2])
-        yield {"token": np.concatenate(out["token"]), "nid": np.repeat(nid, out["take"]), "n": np.repeat(n, out["take"]), "l": np.repeat(np.array(out["l"]), out["take"]).astype(np.int16)}
+        take = np.array(out["take"])
+        yield {"token": np.concatenate(out["token"]), "nid": np.repeat(nid, take), "n": np.repeat(n, take), "s": np.repeat(np.diff(ends), take), "pos": ragged(np.zeros(len(take), np.int64), take), "l": np.repeat(np.array(out["l"]), out["take"]).astype(np.int16)}
 
-    return stored(map_batches(ordered, run, "token long, nid long, n long, l short"), "prefixes")
+    return stored(map_batches(ordered, run, "token long, nid long, n long, s long, l short, pos long"), "prefixes")
 
 
 def verified(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
@@ -196,15 +206,18 @@ def _joined(ordered: DataFrame, percent: int) -> DataFrame:
     entries = prefixes(ordered, percent)
     labels = spark.createDataFrame([], "nid long, label long")
     tested: list[DataFrame] = []
-    fits: Column = (100 * F.col("n") >= percent * F.col("pn")) & (100 * F.col("pn") >= percent * F.col("n"))
+    # tokens that no other set has can't be common: a bound on what two sets share
+    total = F.col("n") + F.col("pn")
+    fits: Column = (100 + percent) * F.least("s", "ps") >= percent * total
 
     def current() -> DataFrame:
         return entries.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
 
     for turn in range(ROUNDS):
         now = current()
-        order = F.xxhash64(F.col("nid"), F.lit(turn)) if turn else F.col("nid")
-        pivot = now.groupBy("token").agg(F.min(F.struct(order.alias("o"), "nid", "n", "label")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token", F.col("p.nid").alias("b"), F.col("p.n").alias("pn"), F.col("p.label").alias("pl"))
+        # first the set with the smallest share of tokens of its own, which is the middle of a group of edited copies
+        order = F.xxhash64(F.col("nid"), F.lit(turn)).cast("double") if turn else -F.col("s") / F.col("n")
+        pivot = now.groupBy("token").agg(F.min(F.struct(order.alias("o"), "nid", "n", "s", "label")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token", F.col("p.nid").alias("b"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps"), F.col("p.label").alias("pl"))
         met = now.join(pivot, "token").filter((F.col("label") != F.col("pl")) & fits).groupBy(F.col("nid").alias("a"), "b").agg(F.count(F.lit(1)).alias("m"))
         for old in tested:
             met = met.join(old.select("a", "b"), ["a", "b"], "left_anti")
@@ -217,10 +230,13 @@ def _joined(ordered: DataFrame, percent: int) -> DataFrame:
         labels = components(links)
     now = current()
     open_ = now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-    left = stored(now.join(open_, "token").select("token", "nid", "n", "l", "label"), "left")
-    mate = left.select("token", F.col("nid").alias("b"), F.col("n").alias("pn"), F.col("l").alias("pl"), F.col("label").alias("plabel"))
+    left = stored(now.join(open_, "token").select("token", "nid", "n", "s", "l", "pos", "label"), "left")
+    mate = left.select("token", F.col("nid").alias("b"), F.col("n").alias("pn"), F.col("s").alias("ps"), F.col("l").alias("pl"), F.col("pos").alias("ppos"), F.col("label").alias("plabel"))
     rest = left.join(mate, "token").filter((F.col("nid") < F.col("b")) & (F.col("label") != F.col("plabel")) & fits)
-    rest = rest.groupBy(F.col("nid").alias("a"), "b").agg(F.count(F.lit(1)).alias("m"), F.min(F.least("l", "pl")).alias("l")).filter("m >= l").select("a", "b")
+    # up to the last common prefix token all common ones are counted, and behind it at most what is left is common
+    behind = F.least(F.col("s") - F.col("pos"), F.col("ps") - F.col("ppos")) - 1
+    rest = rest.groupBy(F.col("nid").alias("a"), "b").agg(F.count(F.lit(1)).alias("m"), F.min(F.least("l", "pl")).alias("l"), F.min(behind).alias("behind"), F.first(total).alias("total"))
+    rest = rest.filter((F.col("m") >= F.col("l")) & ((100 + percent) * (F.col("m") + F.col("behind")) >= percent * F.col("total"))).select("a", "b")
     for old in tested:
         rest = rest.join(old.select("a", "b"), ["a", "b"], "left_anti").join(old.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     last = stored(verified(rest, ordered, percent), "verified").filter("similar").select("a", "b")
