@@ -34,13 +34,15 @@ from marlpit.llm.components import components
 from marlpit.llm.shared import id_key, map_batches, stored
 from marlpit.llm.textkit import SPACE_WORD, WORDS, Texts, mix, ragged, slices
 
-#: Matches that the first filter asks for.
-FIRST_MATCHES = 24
+#: Matches that the first filter asks for: so many, and one more for each so many tokens, as long sets share some by chance.
+FIRST_MATCHES, TOKENS_A_MATCH = 16, 12
 #: Numbers of matches that the join chooses from for each document.
 MATCHES = (1, 2, 4, 8, 16, 32)
 #: A token is hot if it makes up more than this share of the tokens of a sample, one document in SAMPLE; so there are at most so many hot ones.
 SAMPLE, HOT_SHARE, HOT_LEAST = 32, 1 / 100_000, 100
 ROUNDS = 2
+#: A token is rare in so many sets or fewer.
+RARE = 8
 
 
 def shingle_sets(texts: Texts, words: int) -> list[np.ndarray]:
@@ -96,7 +98,7 @@ def similar_groups(documents: DataFrame, words: int = 5, percent: int = 75) -> D
         for texts in slices(batch.column("text")):
             sets = shingle_sets(texts, words)
             size = np.array([len(s) for s in sets])
-            l = np.minimum(FIRST_MATCHES, np.maximum(needed(size, percent), 1))  # noqa: E741
+            l = np.minimum(FIRST_MATCHES + size // TOKENS_A_MATCH, np.maximum(needed(size, percent), 1))  # noqa: E741
             take = np.minimum(size, size - needed(size, percent) + l)
             yield {"token": np.concatenate([s[:k] for s, k in zip(sets, take, strict=True)]).view(np.int64), "owner": np.repeat(owner[texts.first : texts.first + texts.n], take), "l": np.repeat(l, take).astype(np.int16)}
 
@@ -153,9 +155,10 @@ def _ordered(reps: DataFrame, percent: int) -> DataFrame:
 
 
 def prefixes(ordered: DataFrame, percent: int) -> DataFrame:
-    """token, nid, n, s, l, pos: the prefix entries of each set under the number of matches that costs it least.
+    """token, rare, nid, n, s, h, w, l, pos: the prefix entries of each set under the number of matches that costs it least.
 
-    s is the number of its tokens that other sets have, pos the token's place among these.
+    s is the number of the set's tokens that others have, h of those that aren't
+    rare, w the mean document count of its tokens, pos the token's place.
 
     With l matches the prefix's lists hold cost(l) entries; about cost(l) / l
     candidates have enough matches, and each costs a pass over the set.
@@ -168,7 +171,7 @@ def prefixes(ordered: DataFrame, percent: int) -> DataFrame:
         flat = lists.flatten()
         df, token = np.asarray(flat.field(0)).astype(np.int64), np.asarray(flat.field(1))
         ends -= ends[0]
-        out = {"token": [], "take": [], "l": []}
+        out = {"token": [], "df": [], "take": [], "l": []}
         for i in range(len(nid)):
             a, b = ends[i], ends[i + 1]
             alone = n[i] - (b - a)  # tokens that no other set has come first
@@ -182,12 +185,17 @@ def prefixes(ordered: DataFrame, percent: int) -> DataFrame:
                 if best is None or price < best[0]:
                     best = price, take, l
             out["token"].append(token[a : a + best[1]])
+            out["df"].append(df[a : a + best[1]])
             out["take"].append(best[1])
             out["l"].append(best[2])
         take = np.array(out["take"])
-        yield {"token": np.concatenate(out["token"]), "nid": np.repeat(nid, take), "n": np.repeat(n, take), "s": np.repeat(np.diff(ends), take), "pos": ragged(np.zeros(len(take), np.int64), take), "l": np.repeat(np.array(out["l"]), out["take"]).astype(np.int16)}
+        out_df = np.concatenate(out["df"])
+        rare = np.add.reduceat(np.append(df <= RARE, False), ends[:-1]) if len(nid) else take
+        w = np.add.reduceat(np.append(df, 0), ends[:-1]) / np.maximum(n, 1) if len(nid) else take
+        s = np.diff(ends)
+        yield {"token": np.concatenate(out["token"]), "nid": np.repeat(nid, take), "n": np.repeat(n, take), "rare": out_df <= RARE, "s": np.repeat(s, take), "h": np.repeat(s - rare, take), "w": np.repeat(w, take), "pos": ragged(np.zeros(len(take), np.int64), take), "l": np.repeat(np.array(out["l"]), out["take"]).astype(np.int16)}
 
-    return stored(map_batches(ordered, run, "token long, nid long, n long, s long, l short, pos long"), "prefixes")
+    return stored(map_batches(ordered, run, "token long, rare boolean, nid long, n long, s long, h long, w double, l short, pos long"), "prefixes")
 
 
 def verified(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
@@ -206,22 +214,26 @@ def _joined(ordered: DataFrame, percent: int) -> DataFrame:
     entries = prefixes(ordered, percent)
     labels = spark.createDataFrame([], "nid long, label long")
     tested: list[DataFrame] = []
-    # tokens that no other set has can't be common: a bound on what two sets share
+    # Tokens that no other set has can't be common. Rare tokens come first in a prefix, so a set with any other token in its
+    # prefix has all its rare ones there: a pair with a rare one in common is found by that, and any other shares only what isn't rare.
     total = F.col("n") + F.col("pn")
-    fits: Column = (100 + percent) * F.least("s", "ps") >= percent * total
+    room = lambda shared: (100 + percent) * shared >= percent * total
+    most, plenty = room(F.least("s", "ps")), room(F.least("h", "ph"))
+    fits: Column = F.when(F.col("rare"), most).otherwise(plenty)
 
     def current() -> DataFrame:
         return entries.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
 
     for turn in range(ROUNDS):
         now = current()
-        # first the set with the smallest share of tokens of its own, which is the middle of a group of edited copies
-        order = F.xxhash64(F.col("nid"), F.lit(turn)).cast("double") if turn else -F.col("s") / F.col("n")
-        pivot = now.groupBy("token").agg(F.min(F.struct(order.alias("o"), "nid", "n", "s", "label")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token", F.col("p.nid").alias("b"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps"), F.col("p.label").alias("pl"))
-        met = now.join(pivot, "token").filter((F.col("label") != F.col("pl")) & fits).groupBy(F.col("nid").alias("a"), "b").agg(F.count(F.lit(1)).alias("m"))
+        # first the set of the most widespread tokens, which is the middle of a group of edited copies
+        order = F.xxhash64(F.col("nid"), F.lit(turn)).cast("double") if turn else -F.col("w")
+        pivot = now.groupBy("token").agg(F.min(F.struct(order.alias("o"), "nid", "n", "s", "h", "label")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token", F.col("p.nid").alias("b"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps"), F.col("p.h").alias("ph"), F.col("p.label").alias("pl"))
+        met = now.join(pivot, "token").filter((F.col("label") != F.col("pl")) & fits).groupBy(F.col("nid").alias("a"), "b").agg(F.count(F.lit(1)).alias("m"), F.min("pos").alias("pos"))
         for old in tested:
             met = met.join(old.select("a", "b"), ["a", "b"], "left_anti")
-        best = met.groupBy("a").agg(F.max(F.struct("m", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+        # the pivot with most tokens in common and the one with the rarest
+        best = met.groupBy("a").agg(F.max(F.struct("m", "b")).alias("x"), F.min(F.struct("pos", "b")).alias("y")).select("a", F.explode(F.array_distinct(F.array("x.b", "y.b"))).alias("b"))
         fresh = stored(verified(best, ordered, percent), "verified")
         if fresh.isEmpty():
             break
@@ -230,13 +242,13 @@ def _joined(ordered: DataFrame, percent: int) -> DataFrame:
         labels = components(links)
     now = current()
     open_ = now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-    left = stored(now.join(open_, "token").select("token", "nid", "n", "s", "l", "pos", "label"), "left")
-    mate = left.select("token", F.col("nid").alias("b"), F.col("n").alias("pn"), F.col("s").alias("ps"), F.col("l").alias("pl"), F.col("pos").alias("ppos"), F.col("label").alias("plabel"))
+    left = stored(now.join(open_, "token").select("token", "rare", "nid", "n", "s", "h", "l", "pos", "label"), "left")
+    mate = left.select("token", F.col("nid").alias("b"), F.col("n").alias("pn"), F.col("s").alias("ps"), F.col("h").alias("ph"), F.col("l").alias("pl"), F.col("pos").alias("ppos"), F.col("label").alias("plabel"))
     rest = left.join(mate, "token").filter((F.col("nid") < F.col("b")) & (F.col("label") != F.col("plabel")) & fits)
-    # up to the last common prefix token all common ones are counted, and behind it at most what is left is common
+    # where all common prefix tokens are counted: up to the last one none is missed, and behind it at most what is left is common
     behind = F.least(F.col("s") - F.col("pos"), F.col("ps") - F.col("ppos")) - 1
-    rest = rest.groupBy(F.col("nid").alias("a"), "b").agg(F.count(F.lit(1)).alias("m"), F.min(F.least("l", "pl")).alias("l"), F.min(behind).alias("behind"), F.first(total).alias("total"))
-    rest = rest.filter((F.col("m") >= F.col("l")) & ((100 + percent) * (F.col("m") + F.col("behind")) >= percent * F.col("total"))).select("a", "b")
+    pair = rest.groupBy(F.col("nid").alias("a"), "b").agg(F.count(F.lit(1)).alias("m"), F.min(F.least("l", "pl")).alias("l"), F.min(behind).alias("behind"), F.first(total).alias("total"), F.first(plenty).alias("counted"))
+    rest = pair.filter(~F.col("counted") | ((F.col("m") >= F.col("l")) & ((100 + percent) * (F.col("m") + F.col("behind")) >= percent * F.col("total")))).select("a", "b")
     for old in tested:
         rest = rest.join(old.select("a", "b"), ["a", "b"], "left_anti").join(old.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     last = stored(verified(rest, ordered, percent), "verified").filter("similar").select("a", "b")
