@@ -13,7 +13,7 @@ from marlpit.llm import windows as W
 from marlpit.llm.shared import keyed, map_batches, stored
 from marlpit.llm.textkit import SPACE_WORD, cover, slices
 
-COLUMNS = ["k1", "k2", "lo", "n", "off", "ah", "bk"]
+COLUMNS = ["k1", "k2", "lo", "n", "m", "off", "ah", "bk"]
 
 
 class FingerprintIndex:
@@ -48,7 +48,7 @@ class FingerprintIndex:
 
     def _run(self, table: DataFrame) -> DataFrame:
         """Each block once, with its least document, in order of fingerprint."""
-        least = table.groupBy("ah", "bk").agg(F.min(F.struct("k1", "k2", "lo", "n", "off")).alias("x")).select("x.*", "ah", "bk")
+        least = table.groupBy("ah", "bk").agg(F.min(F.struct("k1", "k2", "lo", "n", "m", "off")).alias("x")).select("x.*", "ah", "bk")
         return stored(least.select(COLUMNS).sortWithinPartitions("ah", "bk"), "run")
 
     def compact(self) -> None:

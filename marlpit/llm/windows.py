@@ -50,11 +50,15 @@ def units(texts: Texts, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def blocks(texts: Texts, spec: Spec) -> dict[str, np.ndarray]:
-    """The blocks of all rows: row, first window and anchor (as units within the row), number of windows, anchor and block hash."""
+    """The blocks of all rows: row, first window and anchor (as units within the row), number of windows, anchor and block hash.
+
+    A row's windows are dealt to its blocks without gaps, so a block that repeats
+    m times on end, as in periodic text, is one entry and covers m * n windows.
+    """
     values, first, _, _ = units(texts, spec)
     n, size, k = len(values), spec.length, spec.gram
     if n < size:
-        return {x: np.zeros(0, np.int64) for x in ("row", "lo", "n", "anchor", "ah", "bk")}
+        return {x: np.zeros(0, np.int64) for x in ("row", "lo", "n", "m", "anchor", "ah", "bk")}
     up = WORDS.prefix(values)
     grams = WORDS.span(up, np.arange(n - k + 1), np.arange(k, n + 1))
     anchor = sliding_argmin(mix(grams, 77), size - k + 1)
@@ -70,7 +74,12 @@ def blocks(texts: Texts, spec: Spec) -> dict[str, np.ndarray]:
     lo, a, own = p[at], a[at], own[at]
     body = WORDS2.span(WORDS2.prefix(mix(values, 5)), lo, lo + count + size - 1)
     key = mix(body ^ mix(((a - lo) * 1009 + count).astype(np.uint64)))
-    return {"row": own, "lo": lo - first[own], "n": count, "anchor": a - first[own], "ah": grams[a].view(np.int64), "bk": key.view(np.int64)}
+    ah = grams[a]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (ah[1:] != ah[:-1]) | (key[1:] != key[:-1])
+    at = np.flatnonzero(new)
+    m, own, lo, a = np.diff(np.append(at, len(own))), own[at], lo[at], a[at]
+    return {"row": own, "lo": lo - first[own], "n": count[at], "m": m, "anchor": a - first[own], "ah": ah[at].view(np.int64), "bk": key[at].view(np.int64)}
 
 
 def window_keys(texts: Texts, spec: Spec, row: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -86,7 +95,7 @@ HOT_ANCHOR = 2000
 
 
 def block_table(docs: DataFrame, spec: Spec) -> DataFrame:
-    """k1, k2, lo, n, off (first window to anchor), ah, bk for each block, stored."""
+    """k1, k2, lo, n, m, off (first window to anchor), ah, bk for each block, stored."""
 
     def run(batch):
         k1, k2 = (np.asarray(batch.column(c)) for c in ("k1", "k2"))
@@ -94,9 +103,9 @@ def block_table(docs: DataFrame, spec: Spec) -> DataFrame:
             b = blocks(texts, spec)
             if len(b["row"]):
                 row = b["row"] + texts.first
-                yield {"k1": k1[row], "k2": k2[row], "lo": b["lo"].astype(np.int32), "n": b["n"].astype(np.int16), "off": (b["anchor"] - b["lo"]).astype(np.int16), "ah": b["ah"], "bk": b["bk"]}
+                yield {"k1": k1[row], "k2": k2[row], "lo": b["lo"].astype(np.int32), "n": b["n"].astype(np.int16), "m": b["m"].astype(np.int32), "off": (b["anchor"] - b["lo"]).astype(np.int16), "ah": b["ah"], "bk": b["bk"]}
 
-    return stored(map_batches(docs.select("k1", "k2", "text"), run, "k1 long, k2 long, lo int, n short, off short, ah long, bk long"), "blocks")
+    return stored(map_batches(docs.select("k1", "k2", "text"), run, "k1 long, k2 long, lo int, n short, m int, off short, ah long, bk long"), "blocks")
 
 
 #: An anchor with more than this share of all blocks is hot; so there are at most so many hot ones.
@@ -117,10 +126,10 @@ def live_blocks(table: DataFrame) -> DataFrame:
     hot = F.broadcast(stored(count.filter(F.col("blocks") > limit).select("ah"), "hot"))
     one, anchor = Window.partitionBy("ah", "bk"), Window.partitionBy("ah")
     cool = table.join(hot, "ah", "left_anti").repartition("ah")
-    cool = cool.withColumn("rn", F.row_number().over(one.orderBy("k1", "k2", "lo"))).withColumns({"c": F.count(F.lit(1)).over(one), "least": F.min("k1").over(one)})
+    cool = cool.withColumn("rn", F.row_number().over(one.orderBy("k1", "k2", "lo"))).withColumns({"c": F.sum("m").over(one), "least": F.min("k1").over(one)})
     cool = cool.withColumn("k", F.sum(F.when(F.col("rn") == 1, 1).otherwise(0)).over(anchor)).filter("c > 1 or k > 1")
     many = table.join(hot, "ah", "left_semi")
-    classes = many.groupBy("ah", "bk").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "lo")).alias("rep"))
+    classes = many.groupBy("ah", "bk").agg(F.sum("m").alias("c"), F.min(F.struct("k1", "k2", "lo")).alias("rep"))
     classes = classes.join(F.broadcast(classes.groupBy("ah").agg(F.count(F.lit(1)).alias("k"))), "ah")
     met = many.join(classes, ["ah", "bk"]).withColumns({"least": F.col("rep.k1"), "rn": F.when(F.struct("k1", "k2", "lo") == F.col("rep"), 1).otherwise(2)})
     columns = [*table.columns, "c", "least", "k", "rn"]
@@ -267,8 +276,9 @@ def repeated_spans(live: DataFrame, runs: DataFrame, spec: Spec, earlier: bool)
     """
     whole = F.col("k1") > F.col("least") if earlier else F.col("c") > 1
     span = lambda at, m: F.struct(at.alias("s"), (at + m + F.lit(spec.length - 1)).alias("e"))
-    all_ = live.filter(whole).select("k1", "k2", span(F.col("lo"), F.col("n").cast("int")).alias("x"))
-    some = live.filter(~whole & (F.col("k") > 1)).select("k1", "k2", "lo", "ah", "bk").join(runs, ["ah", "bk"]).select("k1", "k2", span(F.col("lo") + F.col("s"), F.col("m")).alias("x"))
+    all_ = live.filter(whole).select("k1", "k2", span(F.col("lo"), F.col("n") * F.col("m")).alias("x"))
+    some = live.filter(~whole & (F.col("k") > 1)).select("k1", "k2", F.explode(F.sequence(F.col("lo"), F.col("lo") + (F.col("m") - 1) * F.col("n"), F.col("n").cast("int"))).alias("lo"), "ah", "bk")
+    some = some.join(runs, ["ah", "bk"]).select("k1", "k2", span(F.col("lo") + F.col("s"), F.col("m")).alias("x"))
     return all_.unionByName(some).groupBy("k1", "k2").agg(F.collect_list("x").alias("spans"))
 
 
