@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from marlpit.llm.shared import stored
 
+#: A table of a row a source is broadcast up to so many sources; beyond, Spark chooses the join.
+BROADCAST_SOURCES = 100_000
 #: Columns that mixing adds; it takes the place of columns of these names.
 MIXED = ("tokens", "source_tokens", "weight", "quota", "copies")
 
@@ -102,7 +104,7 @@ def placed_copies(documents: DataFrame, entropy: float | None = None, repeats: f
     before = F.col("__at") + F.sum("n").over(Window.partitionBy("__src").orderBy("__h").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     stop = inside.withColumn("__before", before).filter("__before >= __rest").groupBy("__src").agg(F.min("__h").alias("__ch"))
     cut = stored(plan.join(last.drop("__at"), "__src", "left").join(stop, "__src", "left").select("__src", F.coalesce("__cb", F.lit(-1)).alias("__cb"), "__ch"), "cut")
-    out = placed.join(cut, "__src")
+    out = placed.join(F.broadcast(cut) if len(sizes) <= BROADCAST_SOURCES else cut, "__src")
     extra = (F.col("__b") < F.col("__cb")) | ((F.col("__b") == F.col("__cb")) & (F.col("__ch").isNull() | (F.col("__h") < F.col("__ch"))))
     return out.withColumn("__copies", F.col("__whole") + F.when(extra, 1).otherwise(0))
 
