@@ -72,6 +72,23 @@ def test_op10(spark, docs, rows):
     assert out.filter("kept and base_failed").count() == 0
 
 
+def test_op10_verdict(spark):
+    """Fitted on half of the labelled rows, judged on the other half: of those that pass the base rules, the bad ones go and the good ones stay."""
+    sf = SF.replace("0.001", "0.1")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out = rules.quality_rules(spark.read.parquet(f"{sf}/documents.parquet"), labels.filter("doc_id % 2 = 0"))
+    seen = out.filter("not base_failed").join(labels.filter("doc_id % 2 = 1"), "doc_id").select("quality", "kept").toPandas()
+    assert (~seen.kept[seen.quality == 0]).mean() > 0.9 and seen.kept[seen.quality == 1].mean() > 0.99
+
+
+def test_op10_threshold():
+    scores, good = np.array([0.1, 0.2, 0.3, 0.6, 0.4, 0.5, 0.7]), np.array([True] * 4 + [False] * 3)
+    assert 0.3 < rules.calibrated(scores, good, 0.75) < 0.4
+    assert 0.6 < rules.calibrated(scores, good, 0.99) < 0.7
+    assert rules.calibrated(scores[:4], good[:4], 1.0) > 0.6
+    assert rules.calibrated(scores[4:], good[4:], 0.5) > 0.7
+
+
 def test_no_rows(spark):
     none = brute.frame(spark, [])
     assert substrings.remove_repeats(none).count() == 0
