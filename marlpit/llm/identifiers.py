@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
+import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlpit.llm.shared import map_batches, stored
+from marlpit.llm.textkit import WORDS, mix
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -20,9 +23,14 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]+")
 #: Characters cut from a candidate's end, and the length from which one counts.
 _TRAILING, LEAST_CANDIDATE = ".,;:!?)\"'", 4
-#: A candidate: a token with a digit or an at sign.
+#: A candidate: a token with a digit or an at sign, or a run of groups of digits with blanks between, and the digits that a run has at most.
 _CANDIDATE = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
 
+#: Groups are parted as in phone numbers and cards, but not by the end of a sentence; 16 digits at once are a whole card.
+_GROUP = r"(?![0-9]{16})[0-9]++"
+_RUN = re.compile(rf"(?:(?<![^\x20\x09-\x0D\"'\[{{<:=,;/])|(?<=[\x20\x09-\x0D]\()|(?<=^\())\+?(?:\((?=[0-9]++\)))?{_GROUP}(?:(?!\.\x20)[\x20().-]{{1,4}}+{_GROUP})+(?=[.,;:!?)\"']*+(?:[\x20\x09-\x0D]|\Z))")
+MOST_DIGITS = 19
+
 
 def emails(text: str) -> list[tuple[int, int]]:
     out, end, at = [], 0, text.find("@")
@@ -63,15 +71,72 @@ def joined(spans: dict[str, list[tuple[int, int]]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k in KINDS for a, b in spans[k])
 
 
-_BEFORE, _AFTER = re.compile(r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*\Z"), re.compile(r"[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)")
-#: Characters looked at on either side of an instance for its neighbouring words.
+_BLANKS = frozenset("\x20\x09\x0a\x0b\x0c\x0d")
+#: Words of more characters than this are known by a hash.
 _REACH = 64
-
-
-def contexts(text: str, start: int, end: int) -> tuple[str, str]:
-    """The word before and the word after, lower case; a digit in them is written 0."""
-    before, after = _BEFORE.search(text[max(0, start - _REACH) : start]), _AFTER.match(text[end : end + _REACH])
-    return tuple(re.sub("[0-9]", "0", m[1].lower()) if m else "" for m in (before, after))
+_LONG = re.compile(rf"[^\x20\x09-\x0D]{{{_REACH + 1},}}+")
+
+
+class Neighbours:
+    """The whole words on either side of a text's spans, in time linear in the text however long its words are."""
+
+    def __init__(self, text: str):
+        self.text, self.long, self.hashed = text, None, {}
+
+    def contexts(self, start: int, end: int) -> tuple[str, str]:
+        """The word before and the word after, lower case; a digit in them is written 0."""
+        text, b, c = self.text, start, end
+        while b and text[b - 1] in _BLANKS:
+            b -= 1
+        a = b
+        while a and b - a <= _REACH and text[a - 1] not in _BLANKS:
+            a -= 1
+        while c < len(text) and text[c] in _BLANKS:
+            c += 1
+        d = c
+        while d < len(text) and d - c <= _REACH and text[d] not in _BLANKS:
+            d += 1
+        return self._word(None, b) if b - a > _REACH else _plain(text[a:b]), self._word(c, None) if d - c > _REACH else _plain(text[c:d])
+
+    def _word(self, start: int | None, end: int | None) -> str:
+        """The hash of a long word, of which one end is given."""
+        if self.long is None:
+            self.long = [m.span() for m in _LONG.finditer(self.text)]
+        at = bisect_right(self.long, ((end - 1 if start is None else start), len(self.text))) - 1
+        a, b = self.long[at]
+        if at not in self.hashed:
+            codes = np.array([ord(x) if len(x := c.lower()) == 1 else ord(c) for c in self.text[a:b]], np.uint64)
+            codes[(codes >= 0x30) & (codes <= 0x39)] = 0x30
+            self.hashed[at] = WORDS.prefix(mix(codes))
+        ends = np.array([0 if start is None else start - a]), np.array([b - a if end is None else end - a])
+        return f"\x20{int(WORDS.span(self.hashed[at], *ends)[0]):x}"
+
+
+def _plain(word: str) -> str:
+    return re.sub("[0-9]", "0", word.lower())
+
+
+def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that may be identifiers, apart from each other and from those of ``taken``, which are in order.
+
+    Runs of digit groups with a blank come first, up to MOST_DIGITS digits in
+    all; what is left are blank-delimited tokens. A longer run stays in tokens.
+    """
+    runs, at = [], 0
+    for a, b in [*taken, (len(text), len(text))]:
+        if at < a:
+            runs += [m.span() for m in _RUN.finditer(text, at, a) if "\x20" in m[0] and m.end() - m.start() >= LEAST_CANDIDATE and len(_NO_DIGIT.sub("", m[0])) <= MOST_DIGITS]
+        at = max(at, b)
+    out, closed, at = list(runs), sorted(taken + runs), 0
+    for m in _CANDIDATE.finditer(text):
+        a, b = m.start(), m.end()
+        while b > a and text[b - 1] in _TRAILING:
+            b -= 1
+        while at < len(closed) and closed[at][1] <= a:
+            at += 1
+        if b - a >= LEAST_CANDIDATE and (at == len(closed) or closed[at][0] >= b):
+            out.append((a, b))
+    return out
 
 
 def mentions(documents: DataFrame) -> DataFrame:
@@ -93,19 +158,13 @@ def mentions(documents: DataFrame) -> DataFrame:
             spans = base_spans(text)
             add(row, doc_id, None, -1, -1, None, None, None, joined(spans), [len(spans[k]) for k in KINDS])
             taken = sorted((a, b) for v in spans.values() for a, b in v)
-            note = lambda kind, a, b: add(row, None, kind, a, b, hashlib.blake2b(text[a:b].encode(), digest_size=8).hexdigest(), *contexts(text, a, b), None, None)
+            near = Neighbours(text)
+            note = lambda kind, a, b: add(row, None, kind, a, b, hashlib.blake2b(text[a:b].encode(), digest_size=8).hexdigest(), *near.contexts(a, b), None, None)  # noqa: B023, E731
             for kind, found in spans.items():
                 for a, b in found:
                     note(kind, a, b)
-            at = 0
-            for m in _CANDIDATE.finditer(text):
-                a, b = m.start(), m.end()
-                while b > a and text[b - 1] in _TRAILING:
-                    b -= 1
-                while at < len(taken) and taken[at][1] <= a:
-                    at += 1
-                if b - a >= LEAST_CANDIDATE and (at == len(taken) or taken[at][0] >= b):
-                    note(None, a, b)
+            for a, b in candidates(text, taken):
+                note(None, a, b)
         yield out
 
     done = [0]
@@ -145,7 +204,8 @@ def find_personal_data(documents: DataFrame, rounds: int = 3, support: int = 5,
 
     Counts and hash are of the base spans; ``spans`` lists these and the
     discovered ones as kind:start:end, by kind and start, in code points with
-    exclusive ends. Null and empty texts have none; repeated rows come once
+    exclusive ends. What may be discovered are tokens with a digit or an at sign
+    and runs of digit groups parted by blanks (see ``candidates``). Null and empty texts have none; repeated rows come once
     each; without seeds nothing is discovered; an empty table gives no rows.
     """
     found = mentions(documents)

@@ -117,6 +117,44 @@ def test_contexts_discover(spark):
     assert spans[100] == "phone:12:24" and spans[101] == "" and spans[3] == "phone:12:27"
 
 
+def luhn_cards(n):
+    heads = [f"4000 12{i:02} 3456 789" for i in range(n)]
+    return [next(c for d in range(10) if brute.luhn((c := f"{h}{d}").replace(" ", ""))) for h in heads]
+
+
+def test_contexts_discover_blanks(spark):
+    """Unseen numbers written with blanks are found whole."""
+    rows = [(i, f"please call +1 555 010 {1000 + i} now") for i in range(30)] + [(100 + i, f"my card {c} expires") for i, c in enumerate(luhn_cards(30))]
+    new = {200: ("please call ", "0555 010 777", " now", "phone"), 201: ("please call ", "(555) 010-9999", " now", "phone"), 202: ("please call ", "0555 - 010 777", ", thanks", "phone"), 203: ("please call tel:", "0555 010 777", " now", "phone"), 204: ("a@b.co card ", "4000 1234 5678 9011", ". 2024 was", "card"), 205: ("my card ", "4000-1234 5678-9011", " expires", "card")}
+    rows += [(k, "".join(v[:3])) for k, v in new.items()]
+    spans = {r.doc_id: r.spans for r in identifiers.find_personal_data(brute.frame(spark, rows)).collect()}
+    for k, (before, number, _, kind) in new.items():
+        assert f"{kind}:{len(before)}:{len(before) + len(number)}" in spans[k].split(","), k
+
+
+def test_candidates():
+    found = lambda text, taken=(): sorted(text[a:b] for a, b in identifiers.candidates(text, list(taken)))
+    assert found("at 0555 010 777, or (555) 010-9999.") == ["(555) 010-9999", "0555 010 777"]
+    assert found("in 2019. 2020 was") == ["2019", "2020"]
+    assert found("4000 1234 5678 9011 end") == ["4000 1234 5678 9011"]
+    assert found("7536784127813050 4845168114407329") == ["4845168114407329", "7536784127813050"]
+    assert found("12 3x 2024-01-05 12:30 x@y1") == ["12:30", "2024-01-05", "x@y1"]
+    assert found("(0555 010 777) x") == ["0555 010 777"] and found("(0555 010 777)") == ["0555 010 777"]
+    assert found("0555 010 a@b.co 777 888", [(9, 15)]) == ["0555 010", "777 888"]
+
+
+def test_long_neighbours():
+    """Words are compared whole, and texts without blanks take linear time."""
+    tail, near = "x" * 70, lambda text, a, b: identifiers.Neighbours(text).contexts(a, b)
+    assert near(f"a{tail} 1234", 72, 76)[0] != near(f"b{tail} 1234", 72, 76)[0]
+    assert near(f"A1{tail} 1234", 73, 77)[0] == near(f"a2{tail} 1234", 73, 77)[0]
+    assert near(f"1234 {tail}a", 0, 4)[1] != near(f"1234 {tail}b", 0, 4)[1]
+    assert near("Call" + " " * 100 + "1234" + "\n" * 100 + "Now", 104, 108) == ("call", "now")
+    text = "a@b.co," * 30000
+    near = identifiers.Neighbours(text)
+    assert len({near.contexts(a, b) for a, b in identifiers.emails(text)}) == 30000
+
+
 def test_op5(spark, docs, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
