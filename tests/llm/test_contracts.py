@@ -4,9 +4,10 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
-from marlpit.llm import decontaminate, fingerprints, identifiers, neardup, quality, rules, substrings, tokenfiles, windows
+from marlpit.llm import decontaminate, fingerprints, identifiers, neardup, quality, queries, rules, substrings, tokenfiles, windows
 
 from tests.conftest import SF
 from tests.llm import brute
@@ -66,6 +67,45 @@ def test_op8(spark, docs, rows):
     assert got(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == brute.op8(rows, items)
 
 
+def test_op8_unnamed_items(spark, tmp_path):
+    """Items without an id count as the query's SQL counts them, and what holds them leaves the pipeline."""
+    rows = [(1, "one two three four five"), (2, "two three and " + "go " * 12), (3, "none"), (4, "six seven"), (5, None)]
+    items = [(None, "two three"), (None, "go " * 11), (7, "six seven"), (8, "two"), (None, None)]
+    brute.frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.sql(queries.SQL["op8_decontamination"])
+    out = queries.op8_decontamination(spark, str(tmp_path))
+    assert got(out, *want.columns) == Counter(want.fetchall())
+    kept = decontaminate.keep_clean(brute.frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {3, 5}
+
+
+def test_op8_longest(spark):
+    """Longest verbatim matches against all pairs of positions."""
+    rng = random.Random(6)
+    items = [(i, brute.prose(rng, rng.choice([0, 3, 9, 30, 60])) + rng.choice(["", " go hu" * 15])) for i in range(25)]
+    part = lambda: " ".join(rng.choice(items)[1].split()[rng.randint(0, 9) : rng.randint(5, 60)])
+    rows = [(i, " ".join([brute.prose(rng, rng.randint(0, 9)), part(), rng.choice(["", "go hu " * 9, part()])])) for i in range(60)] + [(99, None)]
+    cut = lambda t: brute.ALNUM.findall(brute.lower(t or ""))
+    tests = {str(k): cut(t) for k, t in items}
+
+    def common(a, b):
+        return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    out = decontaminate.decontaminate(brute.frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    for r in out:
+        w = cut(dict(rows)[r.doc_id])
+        most = [max((common(w[i:], t[j:]) for t in tests.values() for j in range(len(t))), default=0) for i in range(len(w))]
+        begun = [any(t and w[i : i + min(10, len(t))] == t[j : j + 10] for t in tests.values() for j in range(max(1, len(t) - 9))) for i in range(len(w))]
+        want = [(i, most[i]) for i in range(len(w)) if begun[i] and not (i and begun[i - 1] and most[i - 1] > most[i])]
+        assert [(m.start, m.n) for m in r.located] == want and r.longest == max((n for _, n in want), default=0)
+        assert all(tests[m.item][m.item_start : m.item_start + m.n] == w[m.start : m.start + m.n] for m in r.located)
+    assert max(r.longest for r in out) > 30
+
+
 def test_op10(spark, docs, rows):
     out = rules.quality_rules(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     assert got(out, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == brute.op10(rows)
