@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from marlpit.llm.shared import stored
 
 #: A table of a row a source is broadcast up to so many sources; beyond, Spark chooses the join.
 BROADCAST_SOURCES = 100_000
+#: No exponent beyond is tried.
+FARTHEST = 2.0**50
 #: Columns that mixing adds; it takes the place of columns of these names.
 MIXED = ("tokens", "source_tokens", "weight", "quota", "copies")
 
@@ -21,10 +24,13 @@ def temperature(tokens: dict[str, int], entropy: float | None = None, repeats: f
 
     ``entropy``: the target, as a share of the greatest possible (log of the
     number of sources). ``repeats``: no source may be read more often than that
-    under ``budget`` tokens (all tokens by default). The exponent is bisected in
-    [0, 1]: 0 is uniform, 1 the natural shares; the smallest exponent that keeps
-    both limits is taken, where entropy falls and rarest sources' repeats fall
-    as the exponent grows. With both, the larger exponent wins.
+    under ``budget`` tokens (all tokens by default). The exponent is bisected
+    from 0, uniform, by 1, the natural shares, to as far as the target needs;
+    the smallest exponent that keeps both limits is taken, where entropy falls
+    as the exponent grows, and rarest sources' repeats fall up to 1. Beyond 1,
+    which only the entropy may ask for, the largest sources' repeats grow: there
+    the exponent ends where the limit on repeats is reached. A limit that can't
+    be kept is warned of; one that no exponent keeps leaves the natural shares.
     """
     total = sum(tokens.values())
     names = sorted(s for s, n in tokens.items() if n > 0)
@@ -34,25 +40,39 @@ def temperature(tokens: dict[str, int], entropy: float | None = None, repeats: f
 
     def weights(a: float) -> dict[str, float]:
         logs = {s: a * math.log(tokens[s] / total) for s in names}
-        scale = math.fsum(math.exp(x) for x in logs.values())
-        return {s: math.exp(x) / scale for s, x in logs.items()}
-
-    def bisect(good) -> float:
-        """The least exponent for which ``good`` holds; good(1) is assumed, the rest monotone."""
-        lo, hi = 0.0, 1.0
-        if good(weights(0.0)):
-            return 0.0
-        for _ in range(60):
+        top = max(logs.values())
+        scale = math.fsum(math.exp(x - top) for x in logs.values())
+        return {s: math.exp(x - top) / scale for s, x in logs.items()}
+
+    def bisect(good, lo: float, hi: float) -> float:
+        """Between ``lo``, for which ``good`` doesn't hold, and ``hi``, for which it does, the end where it still holds."""
+        for _ in range(100):
             mid = (lo + hi) / 2
             lo, hi = (lo, mid) if good(weights(mid)) else (mid, hi)
         return hi
 
     spread = lambda w: -math.fsum(x * math.log(x) for x in w.values() if x > 0)
+    level = lambda w: spread(w) <= entropy * math.log(len(names))
+    spare = lambda w: all(w[s] * budget <= repeats * tokens[s] * (1 + 1e-12) for s in names)
     exponent = 0.0
-    if entropy is not None and len(names) > 1:
-        exponent = max(exponent, bisect(lambda w: spread(w) <= entropy * math.log(len(names))))
+    if entropy is not None and len(names) > 1 and not level(weights(0.0)):
+        far = 1.0
+        while far < FARTHEST and not level(weights(far)):
+            far *= 2
+        if level(weights(far)):
+            exponent = bisect(level, 0.0 if far == 1.0 else far / 2, far)
+        else:
+            warnings.warn(f"no exponent gives the entropy {entropy}: the largest sources are equal; natural shares are kept", stacklevel=2)
+            exponent = 1.0
     if repeats is not None:
-        exponent = max(exponent, bisect(lambda w: all(w[s] * budget <= repeats * tokens[s] for s in names)))
+        if not spare(weights(1.0)):
+            warnings.warn(f"no exponent keeps {repeats} repeats under {budget} tokens; natural shares are kept", stacklevel=2)
+            exponent = 1.0
+        elif exponent > 1.0 and not spare(weights(exponent)):
+            exponent = bisect(spare, exponent, 1.0)
+            warnings.warn(f"the entropy {entropy} is not reached: {repeats} repeats end the exponent at {exponent:.6g}, at an entropy of {spread(weights(exponent)) / math.log(len(names)):.6g}", stacklevel=2)
+        elif exponent < 1.0 and not spare(weights(exponent)):
+            exponent = bisect(spare, exponent, 1.0)
     if entropy is None and repeats is None:
         exponent = 1.0
     return exponent, weights(exponent)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import warnings
 
 import pytest
 from marlpit.llm import fixity, mixing
@@ -21,6 +22,27 @@ def test_temperature():
     assert mixing.temperature(sizes, repeats=1000.0)[0] == 0.0
 
 
+def test_temperature_near_uniform():
+    """Sources more level than the target are drawn apart, as far as repeats allow; what can't be met is told."""
+    level = lambda w: -sum(x * math.log(x) for x in w.values() if x) / math.log(len(w))
+    sizes = {f"s{i}": 100_000 + 500 * i for i in range(20)}
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        a, w = mixing.temperature(sizes, entropy=0.97)
+        b, v = mixing.temperature(sizes, entropy=0.97, repeats=5.0)
+    assert a > 1 and math.isclose(level(w), 0.97, rel_tol=1e-6) and (a, w) == (b, v)
+    total = sum(sizes.values())
+    with pytest.warns(UserWarning, match="not reached"):
+        a, w = mixing.temperature(sizes, entropy=0.5, repeats=2.0)
+    assert a > 1 and math.isclose(max(w[s] * total / sizes[s] for s in sizes), 2.0, rel_tol=1e-6) and level(w) > 0.5
+    with pytest.warns(UserWarning, match="no exponent gives"):
+        assert mixing.temperature(dict.fromkeys("abc", 10), entropy=0.97)[0] == 1.0
+    with pytest.warns(UserWarning, match="no exponent keeps"):
+        assert mixing.temperature(sizes, repeats=2.0, budget=3 * total)[0] == 1.0
+    a, w = mixing.temperature({"a": 10**9, "b": 10**9 - 1, "c": 1}, entropy=0.01)
+    assert a > 10**8 and math.isclose(level(w), 0.01, rel_tol=1e-3)
+
+
 @pytest.mark.parametrize("block", [1, 500, 1 << 20])
 def test_mixing(spark, block):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumnsRenamed({"n_chars": "weight"})
