@@ -22,9 +22,12 @@ class FingerprintIndex:
     A run holds, for each distinct block of windows (see ``windows``) of its
     batches, the fingerprints of anchor and block and the least document with
     it and where, sorted by fingerprint. A new batch is sorted likewise and
-    merge-joined with every run; what meets is verified on the documents'
-    words, and the batch becomes a run. Once there are more than ``fan_in``
-    runs they are merged into one.
+    merge-joined with every run, and the batch becomes a run. Once there are
+    more than ``fan_in`` runs they are merged into one.
+
+    Words are not compared: blocks are equal if the two 64-bit hashes of anchor
+    and block are, windows of opened blocks if their 64-bit hash is, computed
+    anew from the documents' words.
     """
 
     def __init__(self, length: int = 50, gram: int = 8, fan_in: int = 4):

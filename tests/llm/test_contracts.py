@@ -48,6 +48,15 @@ def test_op4(docs, rows, batches):
     assert got(out, "doc_id", "n_words", "n_removed", "kept_sha256") == brute.op4(rows)
 
 
+def test_op4_query_compacts(spark, monkeypatch):
+    """The query has more batches than an index keeps runs, so that runs are merged and the merged one is met again."""
+    met, compact, matched = [], fingerprints.FingerprintIndex.compact, fingerprints.FingerprintIndex.matched
+    monkeypatch.setattr(fingerprints.FingerprintIndex, "compact", lambda self: (met.append("compact"), compact(self))[1])
+    monkeypatch.setattr(fingerprints.FingerprintIndex, "matched", lambda self, docs: (met.append("batch"), matched(self, docs))[1])
+    queries.op4_fingerprint_index(spark, SF)
+    assert "compact" in met[:-1] and met[-1] == "batch"
+
+
 @pytest.mark.parametrize("name", ["HOT_LEAST", "HOT_ANCHOR"])
 def test_hot_groups(docs, rows, monkeypatch, name):
     monkeypatch.setattr(windows, name, 3)
