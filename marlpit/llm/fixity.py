@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marlpit.llm.shared import stored
 
 
-def warc_records(pages: DataFrame) -> DataFrame:
+#: The page_id that rows without one are placed by: the largest of all.
+NO_PAGE = (1 << 63) - 1
+
+
+def warc_records(pages: DataFrame, unnamed: bool = False) -> DataFrame:
     """page_id, record: each page as a WARC response record; a missing url or html counts as empty.
 
-    Rows without a page_id have no place in the order and are left out;
-    repeated ids are records of their own, ordered by content.
+    Rows without a page_id are left out unless ``unnamed`` is set: then they
+    are records without an id, which stand last as NO_PAGE. Repeated ids are
+    records of their own, ordered by content.
     """
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"),
+        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
         F.lit(">\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
     )
-    return pages.filter("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.concat(F.encode(head, "UTF-8"), body, F.encode(F.lit("\r\n\r\n"), "UTF-8")).alias("record"))
+    return (pages if unnamed else pages.filter("page_id is not null")).select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_PAGE)).alias("page_id"), F.concat(F.encode(head, "UTF-8"), body, F.encode(F.lit("\r\n\r\n"), "UTF-8")).alias("record"))
 
 
 def leaves(records: DataFrame, span: int = 32) -> DataFrame:
@@ -49,7 +56,7 @@ def tree(leaf: DataFrame, fanout: int, depth: int) -> list[DataFrame]:
 
 
 def audit(left: DataFrame, right: DataFrame, span: int = 32, fanout: int = 64) -> DataFrame:
-    """Every record of either copy: page_id, leaf, copies of it and lengths on both sides, status.
+    """Every record of either copy: page_id, leaf, copies of it and lengths on both sides, status, path, first_difference.
 
     ``left`` and ``right`` have page_id and record. Trees are compared from
     the roots down, and only children of differing nodes are compared further;
@@ -57,11 +64,14 @@ def audit(left: DataFrame, right: DataFrame, span: int = 32, fanout: int = 64) -
     ``ok``, ``altered``, ``missing`` (not in right), ``extra`` (not in left).
     ``path`` is the chain of nodes from the root for records that are not ok,
     and ``first_difference`` the byte offset, within the leaf's range of the
-    left copy, where the record begins. Empty copies give no rows or all
+    left copy, where the page's records begin, or would begin if they are extra.
+    Empty copies give no rows or all
     missing or extra.
     """
     a, b = (stored(leaves(x, span), "leaves") for x in (left, right))
-    top = max([0, *(abs(v) for x in (a, b) for v in x.agg(F.max("leaf"), F.min("leaf")).first() if v is not None)])
+    # the leaf of records without an id is below a root of its own, so that it doesn't make all paths longer
+    last = min(NO_PAGE, math.floor(float(NO_PAGE) / span))
+    top = max([0, *(abs(v) for x in (a, b) for v in x.filter(F.col("leaf") < last).agg(F.max("leaf"), F.min("leaf")).first() if v is not None)])
     depth = 1
     while fanout**depth <= top:
         depth += 1
@@ -84,7 +94,10 @@ def audit(left: DataFrame, right: DataFrame, span: int = 32, fanout: int = 64) -
         F.sum(na).alias("n_left"), F.sum(na * F.coalesce("lena", F.lit(0))).alias("bytes_left"), F.sum(nb).alias("n_right"), F.sum(nb * F.coalesce("lenb", F.lit(0))).alias("bytes_right"), F.sum(F.abs(na - nb)).alias("gap")
     )
     status = F.when(F.col("gap") == 0, "ok").when(F.col("n_right") == 0, "missing").when(F.col("n_left") == 0, "extra").otherwise("altered")
-    found = same.unionByName(diff.withColumn("status", status).drop("gap"))
+    # a leaf has few ids, whose lengths in order give the offsets
+    offset = F.coalesce(F.sum("bytes_left").over(Window.partitionBy("leaf").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    diff = diff.withColumn("status", status).drop("gap").withColumn("first_difference", F.when(F.col("status") != "ok", offset))
+    found = same.withColumn("first_difference", F.lit(None).cast("long")).unionByName(diff)
     node = F.col("leaf")
     path = reduce(lambda p, _: [F.floor(p[0] / fanout), *p], range(depth), [node])
     text: Column = F.concat_ws("/", *(x.cast("string") for x in path))

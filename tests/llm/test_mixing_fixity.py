@@ -86,3 +86,18 @@ def test_audit_edges(spark):
     assert fixity.audit(page([]), page([])).count() == 0
     assert {(r.page_id, r.status) for r in fixity.audit(some, page([])).collect()} == {(1, "missing"), (-5, "missing"), (70, "missing")}
     assert {(r.page_id, r.status) for r in fixity.audit(page([(1, "u", "h", "x")]), some).collect()} == {(1, "altered"), (-5, "extra"), (70, "extra")}
+
+
+def test_audit_offsets(spark):
+    """first_difference is where a page's records begin in its leaf's range of the left copy; pages without an id are audited."""
+    page = lambda rows: fixity.warc_records(spark.createDataFrame(rows, "page_id long, url string, html string"), unnamed=True)
+    rows = [(i, "u", "h" * (i % 7)) for i in range(70)] + [(5, "v", "again"), (None, "u", "x"), (None, "u", "y")]
+    left = page([r for r in rows if r[0] != 40])
+    right = page([(k, u, h + "?" if k in (6, 33) else h) for k, u, h in rows if k not in (0, 69) and (k, h) != (None, "y")])
+    records = sorted((r.page_id, bytes(r.record)) for r in left.collect())
+    out = {r.page_id: r for r in fixity.audit(left, right).collect()}
+    want = {k: sum(len(x) for i, x in records if i < k and i // 32 == k // 32) for k in (0, 6, 33, 40, 69, fixity.NO_PAGE)}
+    assert {k: r.first_difference for k, r in out.items() if r.status != "ok"} == want
+    assert {k: out[k].status for k in want} == {0: "missing", 6: "altered", 33: "altered", 40: "extra", 69: "missing", fixity.NO_PAGE: "altered"}
+    assert all(r.first_difference is None for r in out.values() if r.status == "ok") and out[fixity.NO_PAGE].n_left == 2
+    assert out[6].path == "0/0" and out[69].path == "0/2"
