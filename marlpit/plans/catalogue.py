@@ -135,6 +135,10 @@ over("sort_desc", "part", "SELECT p_partkey, NULLIF(p_size, 50) AS s FROM part O
 over("sort_multi", "customer", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey LIMIT 100")(lambda d: R.top_k(d.select("c_custkey", "c_mktsegment", "c_acctbal"), 100, ("c_mktsegment", True), ("c_acctbal", False), ("c_custkey", True)))
 over("sort_expr", "customer", "SELECT c_custkey FROM customer ORDER BY abs(c_acctbal) DESC, c_custkey LIMIT 20")(lambda d: R.top_k(d, 20, (F.abs("c_acctbal"), False), ("c_custkey", True)).select("c_custkey"))
 over("order_by_agg", "orders", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY 1 ORDER BY COUNT(*) DESC, o_custkey LIMIT 15")(lambda d: R.top_k(R.aggregate(d, ["o_custkey"], [F.count(F.lit(1)).alias("n")]), 15, ("n", False), ("o_custkey", True)))
+over("sort_asc_whole", "orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey")(lambda d: R.order(d.select("o_orderkey", "o_totalprice"), ("o_totalprice", True), ("o_orderkey", True)))
+over("sort_multi_whole", "customer", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey")(lambda d: R.order(d.select("c_custkey", "c_mktsegment", "c_acctbal"), ("c_mktsegment", True), ("c_acctbal", False), ("c_custkey", True)))
+over("sort_expr_whole", "customer", "SELECT c_custkey FROM customer ORDER BY abs(c_acctbal) DESC, c_custkey")(lambda d: R.order(d, (F.abs("c_acctbal"), False), ("c_custkey", True)).select("c_custkey"))
+over("order_by_agg_whole", "orders", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY 1 ORDER BY COUNT(*) DESC, o_custkey")(lambda d: R.order(R.aggregate(d, ["o_custkey"], [F.count(F.lit(1)).alias("n")]), ("n", False), ("o_custkey", True)))
 over("limit_ordered", "orders", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10")(lambda d: R.limit(R.order(d, ("o_orderkey", True)), 10).select("o_orderkey"))
 over("limit_zero", "orders", "SELECT o_orderkey FROM orders LIMIT 0")(lambda d: R.limit(d.select("o_orderkey"), 0))
 over("topk", "orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25")(lambda d: R.top_k(d, 25, ("o_totalprice", False), ("o_orderkey", True)).select("o_orderkey", "o_totalprice"))

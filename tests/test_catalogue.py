@@ -35,3 +35,12 @@ def test_matches_sql(spark, duck, name):
     df = catalogue.QUERIES[name](spark, SF)
     want = duck.sql(catalogue.SQL[name])
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["sort_asc", "sort_multi", "sort_expr", "order_by_agg"])
+def test_whole_sorts(spark, duck, name):
+    """Besides the capped sorts there is one of the whole table, in the order of its SQL."""
+    df = catalogue.QUERIES[f"{name}_whole"](spark, SF)
+    want = duck.sql(catalogue.SQL[f"{name}_whole"])
+    assert [tuple(canon(x) for x in r) for r in df.collect()] == [tuple(canon(x) for x in r) for r in want.fetchall()]
+    assert "LIMIT" not in catalogue.SQL[f"{name}_whole"] and df.columns == want.columns
