@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlpit.llm.shared import map_batches
-from marlpit.llm.textkit import ALNUM_WORD, WORDS, Texts, cover, mix, ragged, slices
+from marlpit.llm.textkit import ALNUM_WORD, Levels, Texts, cover, mix, ragged, slices
 
 #: A window is so many consecutive words.
 WINDOW = 10
@@ -30,7 +30,7 @@ class Tests:
         # all words, a value of its own after each item, and the order of all suffixes by doubled depths
         self.words = np.insert(hashes, first[1:], mix(np.arange(texts.n, dtype=np.uint64), 0x5E9A))
         self.starts = first[:-1] + np.arange(texts.n)
-        self.up = WORDS.prefix(self.words)
+        self.levels = Levels(self.words)
         self.order, rank, depth = np.argsort(self.words, kind="stable"), np.unique(self.words, return_inverse=True)[1], 1
         while len(rank) and rank.max() + 1 < len(rank):
             after = np.append(rank[depth:] + 1, np.zeros(min(depth, len(rank)), np.int64))
@@ -49,9 +49,7 @@ class Tests:
             keys, inverse = np.unique(rows_of, axis=0, return_inverse=True)
             order = np.argsort(inverse, kind="stable")
             lead = min(LEAD, int(size))
-            up = WORDS.prefix(keys[:, :lead].ravel())
-            at = np.arange(len(keys)) * lead
-            self.classes.append((int(size), keys, owner[order], np.append(0, np.cumsum(np.bincount(inverse.ravel(), minlength=len(keys)))), lead, np.unique(WORDS.span(up, at, at + lead))))
+            self.classes.append((int(size), keys, owner[order], np.append(0, np.cumsum(np.bincount(inverse.ravel(), minlength=len(keys)))), lead, np.unique(Levels(keys[:, :lead].ravel()).windows(lead)[::lead])))
 
 
 def suffix_array(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
@@ -80,16 +78,16 @@ def search(words: np.ndarray, array: np.ndarray, query: np.ndarray) -> tuple[np.
     return lo, hi, longest
 
 
-def longest_matches(tests: Tests, words: np.ndarray, up: np.ndarray, at: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def longest_matches(tests: Tests, words: np.ndarray, levels: Levels, at: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The most words from each of ``at``, ``room`` at most, that stand in an item in a row, and where in ``tests.words``."""
 
     def common(q: np.ndarray) -> np.ndarray:
-        lo, hi = np.zeros(len(at), np.int64), np.minimum(room, len(tests.words) - q)
-        while (open_ := lo < hi).any():
-            mid = (lo + hi + 1) >> 1
-            same = WORDS.span(up, at, at + mid) == WORDS.span(tests.up, q, q + mid)
-            lo, hi = np.where(open_ & same, mid, lo), np.where(open_ & ~same, mid - 1, hi)
-        return lo
+        n, most = np.zeros(len(at), np.int64), np.minimum(room, len(tests.words) - q)
+        for j in range(int(most.max()).bit_length() - 1, -1, -1):
+            some = np.flatnonzero(n + (1 << j) <= most)
+            same = levels.at(j)[(at + n)[some]] == tests.levels.at(j)[(q + n)[some]]
+            n[some[same]] += 1 << j
+        return n
 
     lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(tests.order))
     while (open_ := lo < hi).any():
@@ -111,14 +109,13 @@ def matches(texts: Texts, blocks: list[Tests], locate: bool = False) -> tuple[np
     items: list[set[str | None]] = [set() for _ in range(texts.n)]
     most, block_of, place = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
     begun = [np.zeros(len(words) if locate else 0, bool) for _ in blocks]
-    up = WORDS.prefix(words)
+    levels = Levels(words)
     leads: dict[int, np.ndarray] = {}
     for block, tests, (size, keys, owner, owners, lead, known) in ((i, t, c) for i, t in enumerate(blocks) for c in t.classes):
         if len(words) < size:
             continue
         if lead not in leads:
-            n = len(words) - lead + 1
-            leads[lead] = WORDS.span(up, np.arange(n), np.arange(lead, n + lead))
+            leads[lead] = levels.windows(lead)
         near = np.searchsorted(known, leads[lead])
         at = np.flatnonzero(known[np.minimum(near, len(known) - 1)] == leads[lead])
         at = at[at + size <= len(words)]
@@ -139,7 +136,7 @@ def matches(texts: Texts, blocks: list[Tests], locate: bool = False) -> tuple[np
     first, located = np.append(0, np.cumsum(n)), [[] for _ in range(texts.n)]
     for block, flags in enumerate(begun):
         if len(at := np.flatnonzero(flags)):
-            length, q = longest_matches(blocks[block], words, up, at, first[rows[at] + 1] - at)
+            length, q = longest_matches(blocks[block], words, levels, at, first[rows[at] + 1] - at)
             more = length > most[at]
             most[at[more]], block_of[at[more]], place[at[more]] = length[more], block, q[more]
     # what is within the match that begins a word before is no match of its own

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlpit.llm.shared import map_batches, stored
-from marlpit.llm.textkit import WORDS, mix
+from marlpit.llm.textkit import U, mix
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -107,9 +107,11 @@ class Neighbours:
         if at not in self.hashed:
             codes = np.array([ord(x) if len(x := c.lower()) == 1 else ord(c) for c in self.text[a:b]], np.uint64)
             codes[(codes >= 0x30) & (codes <= 0x39)] = 0x30
-            self.hashed[at] = WORDS.prefix(mix(codes))
-        ends = np.array([0 if start is None else start - a]), np.array([b - a if end is None else end - a])
-        return f"\x20{int(WORDS.span(self.hashed[at], *ends)[0]):x}"
+            place = np.arange(1, b - a + 1, dtype=np.uint64) << U(32)
+            # sums over characters and their places, from the first on for words that end anywhere and from the last back for those that begin anywhere
+            self.hashed[at] = np.cumsum(mix(codes + place)), np.cumsum(mix(codes[::-1] + place))
+        ahead, back = self.hashed[at]
+        return f"\x20{int(ahead[end - a - 1] if start is None else back[b - start - 1]):x}"
 
 
 def _plain(word: str) -> str:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,10 @@ from pyspark.sql.types import StructType
 
 #: What a missing doc_id counts as when ids are compared: the largest.
 NO_ID = (1 << 63) - 1
+#: Spark's setting by which a query's shuffle files go once it has ended.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders that ``stored`` has written and that are still there.
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,19 +25,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where none is set, as in tests."""
+    """The cluster's checkpoint folder; one of our own only where none is set and driver and executors are on one machine, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="marlpit-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The rows written as Parquet to a folder and read again; the shuffles this took leave no files."""
+    spark = df.sparkSession
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(TIDY)
+        else:
+            spark.conf.set(TIDY, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
+    """The rows written to the shared folder and read again: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = written(df, path)
+    out.stored_at = path
+    _written.append(path)
+    return out
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Removes folders by way of the file system that Spark uses for them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        if path in _written:
+            _written.remove(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes stored tables that no later step reads."""
+    for df in tables:
+        discard(df.sparkSession, df.stored_at)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Whatever is stored inside is removed at the end; results have to be written elsewhere by then."""
+    known = set(_written)
+    try:
+        yield
+    finally:
+        discard(spark, *[p for p in _written if p not in known])
 
 
 def keyed(docs: DataFrame) -> DataFrame:

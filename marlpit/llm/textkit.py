@@ -1,9 +1,10 @@
-"""Vectorised text primitives over Arrow batches: words, rolling hashes, minimisers.
+"""Vectorised text primitives over Arrow batches: words, hashes of spans and windows, minimisers.
 
 Text is handled as UTF-8 bytes. All classes of separators used here are ASCII,
-so byte-wise splitting equals splitting by code points. Rolling hashes are
-polynomials modulo 2**64 with an odd random base, taken from prefix sums:
-``sum(v[j] * inv**j)`` from s to e, times ``base**s``.
+so byte-wise splitting equals splitting by code points. Hashes are not linear:
+a span's eight-byte chunks are scrambled with their numbers before they are
+added, and windows are scrambled anew at each doubling of their width, so that
+no family of strings (Thue-Morse words, say) collides for every seed.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ import pyarrow.compute as pc
 #: Bytes of text that are worked on at once; one longer text is worked on alone.
 SLICE_BYTES = 512 << 10
 
+#: Spans that are hashed at once.
+SPANS = 1 << 18
+
 U = np.uint64
-_rng = np.random.default_rng(20240611)
-BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
-_M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
+_M1, _M2, _M3, _M4 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 
 SPACE_WORD = np.ones(256, bool)  # words are runs of anything but blanks and \t to \r
 SPACE_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -38,36 +40,86 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-class Base:
-    """Powers of an odd base and of its inverse, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inv = U(base), U(pow(base, -1, 1 << 64))
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            with np.errstate(over="ignore"):
-                for name, x in (("up", self.base), ("down", self.inv)):
-                    a = np.full(size, x, np.uint64)
-                    a[0] = 1
-                    setattr(self, name, np.multiply.accumulate(a))
-        return self.up[:n], self.down[:n]
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        """Prefix sums for ``span``."""
-        out = np.empty(len(values) + 1, np.uint64)
-        out[0] = 0
-        np.cumsum(values * self.powers(len(values))[1], out=out[1:])
-        return out
+def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each pair, in order."""
+    return mix(a * _M3 + (b ^ (b >> U(31))) * _M4)
+
 
-    def span(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The hash of values from ``start`` up to ``end``, position independent."""
-        return mix((prefix[end] - prefix[start]) * self.powers(len(prefix))[0][start])
+def bounded(n: np.ndarray) -> np.ndarray:
+    """Masks of the lower n bytes, n up to 8."""
+    return ~U(0) >> (U(8) * (U(8) - n.astype(np.uint64)))
 
 
-BYTES, WORDS, WORDS2 = Base(0x9E3779B97F4A7C15), Base(0xD6E8FEB86659FD93), Base(0xC2B2AE3D27D4EB4F)
+class Levels:
+    """Hashes of all runs of 1, 2, 4, ... values, ``step`` positions from one value to the next; each level is made once it is asked for."""
+
+    def __init__(self, values: np.ndarray, step: int = 1):
+        self.step, self.level = step, [values]
+
+    def at(self, j: int) -> np.ndarray:
+        """The runs of 2 ** j values that begin at each position where one has room."""
+        while len(self.level) <= j:
+            last, gap = self.level[-1], self.step << (len(self.level) - 1)
+            self.level.append(both(last[: max(0, len(last) - gap)], last[gap:]))
+        return self.level[j]
+
+    def windows(self, width: int) -> np.ndarray:
+        """The hash of each run of ``width`` values."""
+        n = max(0, len(self.level[0]) - (width - 1) * self.step)
+        out, done = None, 0
+        for j in range(width.bit_length() - 1, -1, -1):
+            if width >> j & 1:
+                part = self.at(j)[done * self.step :][:n]
+                out, done = part if out is None else both(out, part), done + (1 << j)
+        return out
+
+    def spans(self, start: np.ndarray, size: np.ndarray, unit: int = 1) -> np.ndarray:
+        """The hash of ``size`` positions from each start; one value covers ``unit`` of them, and size is ``unit`` at least."""
+        out = np.empty(len(start), np.uint64)
+        level = np.frexp((size // unit).astype(np.float64))[1] - 1
+        for j in np.unique(level).tolist():
+            some = np.flatnonzero(level == j)
+            a, n = start[some], size[some]
+            out[some] = both(self.at(j)[a], self.at(j)[a + n - (unit << j)])
+        return mix(out + size.astype(np.uint64) * _M3)
+
+
+class Chunks:
+    """Bytes read eight at a time from any position."""
+
+    def __init__(self, data: np.ndarray):
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        self.size, self.view = len(data), np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The hash of each span of bytes, wherever it stands."""
+        out = np.zeros(len(starts), np.uint64)
+        for at in range(0, len(starts), SPANS):
+            begin, size = starts[at : at + SPANS], (ends - starts)[at : at + SPANS]
+            count = (size + 7) >> 3
+            k = ragged(np.zeros(len(count), np.int64), count)
+            left = np.repeat(size, count) - 8 * k
+            value = self.view[np.repeat(begin, count) + 8 * k] & bounded(np.minimum(left, 8))
+            value = mix((value ^ (value >> U(32))) * _M3 + k.astype(np.uint64) * _M4)
+            some = np.flatnonzero(count)
+            if len(some):
+                out[at + some] = np.add.reduceat(value, (np.cumsum(count) - count)[some])
+            out[at : at + SPANS] += size.astype(np.uint64) * _M4
+        return mix(out)
+
+    def windows(self) -> Levels:
+        """Hashes of runs of 8, 16, 32, ... bytes."""
+        return Levels(mix(self.view[: max(0, self.size - 7)]), 8)
+
+
+def byte_windows(chunks: Chunks, levels: Levels, width: int) -> np.ndarray:
+    """The hash of each run of ``width`` bytes."""
+    n = max(0, chunks.size - width + 1)
+    if width < 8:
+        return mix(chunks.view[:n] & bounded(np.array([width])))
+    out = levels.windows(width // 8)[:n]
+    return both(out, levels.at(0)[width - 8 :][:n]) if width % 8 else out
 
 
 class Texts:
@@ -96,8 +148,7 @@ class Texts:
         return starts, np.flatnonzero(stop) + 1, self.doc_of(starts)
 
     def word_hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-        code = BYTE_CODE[LOWER] if lower else BYTE_CODE
-        return BYTES.span(BYTES.prefix(code[self.data]), starts, ends)
+        return Chunks(LOWER[self.data] if lower else self.data).hashes(starts, ends)
 
     def text(self, row: int) -> bytes:
         return self.data[self.offsets[row] : self.offsets[row + 1]].tobytes()
@@ -107,7 +158,7 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = 0) -> Iterator[Texts
     """The texts of a column in slices of about ``limit`` bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     if not len(column):
         return
     _, offsets, data = column.buffers()
@@ -121,21 +172,26 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = 0) -> Iterator[Texts
 
 
 def sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
-    """Positions of the leftmost minimum in each run of ``width`` values.
-
-    Values are compared by their upper bits, the lower ones hold the position.
-    """
+    """Positions of the leftmost minimum in each run of ``width`` values, which are compared whole."""
     n = len(keys)
     if n < width:
         return np.zeros(0, np.int64)
-    bits = U(max(1, int(n).bit_length()))
-    packed = np.full(-(-n // width) * width, ~U(0), np.uint64)
-    packed[:n] = (keys >> bits << bits) | np.arange(n, dtype=np.uint64)
-    rows = packed.reshape(-1, width)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    full = np.full(-(-n // width) * width, ~U(0), np.uint64)
+    full[:n] = keys
+    rows = full.reshape(-1, width)
+    place = np.arange(len(full)).reshape(-1, width)
+    least = np.minimum.accumulate(rows, axis=1)
+    new = np.ones(rows.shape, bool)
+    new[:, 1:] = rows[:, 1:] < least[:, :-1]
+    ahead_at = np.maximum.accumulate(np.where(new, place, 0), axis=1).ravel()
+    ahead = least.ravel()
+    least = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1]
+    new[:, -1] = True
+    new[:, :-1] = rows[:, :-1] <= least[:, 1:]
+    back_at = np.minimum.accumulate(np.where(new, place, len(full))[:, ::-1], axis=1)[:, ::-1].ravel()
+    back = least.ravel()
     m = n - width + 1
-    return (np.minimum(back[:m], ahead[width - 1 : width - 1 + m]) & ((U(1) << bits) - U(1))).astype(np.int64)
+    return np.where(back[:m] <= ahead[width - 1 :][:m], back_at[:m], ahead_at[width - 1 :][:m])
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlpit.llm.shared import map_batches, stored
-from marlpit.llm.textkit import BYTE_CODE, BYTES, ragged, slices
+from marlpit.llm.textkit import Chunks, ragged, slices
 
 MAGIC = b"PLANES01"
 #: Ids in a block, and ids after which a file is closed.
@@ -140,7 +140,7 @@ class Encoder:
         cut[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
-        keys = BYTES.span(BYTES.prefix(BYTE_CODE[data]), starts, ends)
+        keys = Chunks(data).hashes(starts, ends)
         group, kinds = pd.factorize(keys)
         first = np.full(len(kinds), len(starts), np.int64)
         first[group[::-1]] = np.arange(len(starts))[::-1]

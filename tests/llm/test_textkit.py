@@ -38,6 +38,31 @@ def test_sliding_argmin():
             assert T.sliding_argmin(keys, width).tolist() == want
 
 
+def test_argmin_of_slices():
+    """A window's minimum is the same however long the values around it are."""
+    rng = np.random.default_rng(3)
+    keys = (rng.integers(0, 4, 5000, np.uint64) << np.uint64(50)) + rng.integers(0, 3, 5000, np.uint64)
+    whole = T.sliding_argmin(keys, 30)
+    for lo, hi in ((0, 40), (17, 160), (900, 3000)):
+        assert (T.sliding_argmin(keys[lo:hi], 30) + lo == whole[lo : hi - 29]).all()
+
+
+def test_window_hashes():
+    """Equal hashes for equal runs of any width, wherever they stand, and no others."""
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 99, 3000).astype(np.uint8)
+    data[2000:2600] = data[300:900]
+    chunks = T.Chunks(data)
+    raw = data.tobytes()
+    for width in (1, 5, 8, 13, 24, 64, 200, 333):
+        got = T.byte_windows(chunks, chunks.windows(), width)
+        assert len(set(zip(got.tolist(), [raw[i : i + width] for i in range(len(got))], strict=True))) == len(set(got.tolist())) == len({raw[i : i + width] for i in range(len(got))})
+        at = np.arange(0, 3000 - width, 7)
+        spans = T.Levels(T.mix(data.astype(np.uint64))).spans(at, np.full(len(at), width))
+        assert len(set(spans.tolist())) == len({raw[i : i + width] for i in at.tolist()})
+        assert (chunks.hashes(np.array([300]), np.array([300 + width])) == chunks.hashes(np.array([2000]), np.array([2000 + width]))).all()
+
+
 def test_ragged_and_cover():
     assert T.ragged(np.array([3, 9, 0, 7]), np.array([2, 0, 3, 1])).tolist() == [3, 4, 0, 1, 2, 7]
     assert T.ragged(np.array([], int), np.array([], int)).tolist() == []
