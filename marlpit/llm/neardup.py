@@ -11,12 +11,15 @@ join uses this three times:
    set settles it likewise. Sets are then ordered by the tokens' document
    counts, the rarest first;
 3. each document takes the l that costs it least by an estimate from those
-   counts; pairs need min(l) common prefix tokens before they are verified.
+   counts; pairs need min(l) common tokens in the lengthened prefixes before
+   they are verified.
 
 Only components are asked for, so groups are not expanded into pairs. In each
 round a document is verified against one pivot, the member of a shared token's
 group with which it has most tokens in common, and linked groups shrink to one
-component. What still crosses components is then enumerated and verified.
+component. What still crosses components is then met through the first token
+that a pair has in common, with all that is common behind it, counted in the
+lengthened prefixes and verified.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlpit.llm.components import components
-from marlpit.llm.shared import id_key, map_batches, stored
-from marlpit.llm.textkit import SPACE_WORD, WORDS, Texts, mix, ragged, slices
+from marlpit.llm.shared import drop, id_key, map_batches, stored
+from marlpit.llm.textkit import SPACE_WORD, Levels, Texts, mix, ragged, slices
 
 #: Matches that the first filter asks for: so many, and one more for each so many tokens, as long sets share some by chance.
 FIRST_MATCHES, TOKENS_A_MATCH = 16, 12
@@ -41,8 +44,6 @@ MATCHES = (1, 2, 4, 8, 16, 32)
 #: A token is hot if it makes up more than this share of the tokens of a sample, one document in SAMPLE; so there are at most so many hot ones.
 SAMPLE, HOT_SHARE, HOT_LEAST = 32, 1 / 100_000, 100
 ROUNDS = 2
-#: A token is rare in so many sets or fewer.
-RARE = 8
 
 
 def shingle_sets(texts: Texts, words: int) -> list[np.ndarray]:
@@ -52,8 +53,7 @@ def shingle_sets(texts: Texts, words: int) -> list[np.ndarray]:
     first = np.cumsum(count) - count
     n = np.where(count == 0, 0, np.maximum(1, count - words + 1))
     begin = ragged(first, n)
-    end = np.minimum(begin + words, np.repeat(first + count, n))
-    keys = mix(WORDS.span(WORDS.prefix(texts.word_hashes(starts, ends, lower=True)), begin, end), 41)
+    keys = Levels(texts.word_hashes(starts, ends, lower=True)).spans(begin, np.repeat(np.minimum(count, words), n))
     at = np.append(0, np.cumsum(n))
     return [np.unique(keys[at[i] : at[i + 1]]) for i in range(texts.n)]
 
@@ -155,10 +155,10 @@ def _ordered(reps: DataFrame, percent: int) -> DataFrame:
 
 
 def prefixes(ordered: DataFrame, percent: int) -> DataFrame:
-    """token, rare, nid, n, s, h, w, l, pos: the prefix entries of each set under the number of matches that costs it least.
+    """token, nid, n, s, w, l, pos: the prefix entries of each set under the number of matches that costs it least.
 
-    s is the number of the set's tokens that others have, h of those that aren't
-    rare, w the mean document count of its tokens, pos the token's place.
+    s is the number of the set's tokens that others have, w the mean document
+    count of its tokens, pos the token's place.
 
     With l matches the prefix's lists hold cost(l) entries; about cost(l) / l
     candidates have enough matches, and each costs a pass over the set.
@@ -171,7 +171,7 @@ def prefixes(ordered: DataFrame, percent: int) -> DataFrame:
         flat = lists.flatten()
         df, token = np.asarray(flat.field(0)).astype(np.int64), np.asarray(flat.field(1))
         ends -= ends[0]
-        out = {"token": [], "df": [], "take": [], "l": []}
+        taken, size, matches = [], [], []
         for i in range(len(nid)):
             a, b = ends[i], ends[i + 1]
             alone = n[i] - (b - a)  # tokens that no other set has come first
@@ -184,18 +184,14 @@ def prefixes(ordered: DataFrame, percent: int) -> DataFrame:
                 price = cost[take] + cost[take] / l * np.sqrt(n[i]) + 4 * take
                 if best is None or price < best[0]:
                     best = price, take, l
-            out["token"].append(token[a : a + best[1]])
-            out["df"].append(df[a : a + best[1]])
-            out["take"].append(best[1])
-            out["l"].append(best[2])
-        take = np.array(out["take"])
-        out_df = np.concatenate(out["df"])
-        rare = np.add.reduceat(np.append(df <= RARE, False), ends[:-1]) if len(nid) else take
-        w = np.add.reduceat(np.append(df, 0), ends[:-1]) / np.maximum(n, 1) if len(nid) else take
-        s = np.diff(ends)
-        yield {"token": np.concatenate(out["token"]), "nid": np.repeat(nid, take), "n": np.repeat(n, take), "rare": out_df <= RARE, "s": np.repeat(s, take), "h": np.repeat(s - rare, take), "w": np.repeat(w, take), "pos": ragged(np.zeros(len(take), np.int64), take), "l": np.repeat(np.array(out["l"]), out["take"]).astype(np.int16)}
+            taken.append(token[a : a + best[1]])
+            size.append(best[1])
+            matches.append(best[2])
+        take = np.array(size)
+        w = np.add.reduceat(np.append(df, 0), ends[:-1]) / np.maximum(n, 1)
+        yield {"token": np.concatenate(taken), "nid": np.repeat(nid, take), "n": np.repeat(n, take), "s": np.repeat(np.diff(ends), take), "w": np.repeat(w, take), "pos": ragged(np.zeros(len(take), np.int64), take), "l": np.repeat(np.array(matches), take).astype(np.int16)}
 
-    return stored(map_batches(ordered, run, "token long, rare boolean, nid long, n long, s long, h long, w double, l short, pos long"), "prefixes")
+    return stored(map_batches(ordered, run, "token long, nid long, n long, s long, w double, l short, pos long"), "prefixes")
 
 
 def verified(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
@@ -214,12 +210,7 @@ def _joined(ordered: DataFrame, percent: int) -> DataFrame:
     entries = prefixes(ordered, percent)
     labels = spark.createDataFrame([], "nid long, label long")
     tested: list[DataFrame] = []
-    # Tokens that no other set has can't be common. Rare tokens come first in a prefix, so a set with any other token in its
-    # prefix has all its rare ones there: a pair with a rare one in common is found by that, and any other shares only what isn't rare.
-    total = F.col("n") + F.col("pn")
-    room = lambda shared: (100 + percent) * shared >= percent * total
-    most, plenty = room(F.least("s", "ps")), room(F.least("h", "ph"))
-    fits: Column = F.when(F.col("rare"), most).otherwise(plenty)
+    enough = lambda shared, total: (100 + percent) * shared >= percent * total
 
     def current() -> DataFrame:
         return entries.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
@@ -228,8 +219,9 @@ def _joined(ordered: DataFrame, percent: int) -> DataFrame:
         now = current()
         # first the set of the most widespread tokens, which is the middle of a group of edited copies
         order = F.xxhash64(F.col("nid"), F.lit(turn)).cast("double") if turn else -F.col("w")
-        pivot = now.groupBy("token").agg(F.min(F.struct(order.alias("o"), "nid", "n", "s", "h", "label")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token", F.col("p.nid").alias("b"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps"), F.col("p.h").alias("ph"), F.col("p.label").alias("pl"))
-        met = now.join(pivot, "token").filter((F.col("label") != F.col("pl")) & fits).groupBy(F.col("nid").alias("a"), "b").agg(F.count(F.lit(1)).alias("m"), F.min("pos").alias("pos"))
+        pivot = now.groupBy("token").agg(F.min(F.struct(order.alias("o"), "nid", "n", "s", "label")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token", F.col("p.nid").alias("b"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps"), F.col("p.label").alias("pl"))
+        # tokens that no other set has can't be common
+        met = now.join(pivot, "token").filter((F.col("label") != F.col("pl")) & enough(F.least("s", "ps"), F.col("n") + F.col("pn"))).groupBy(F.col("nid").alias("a"), "b").agg(F.count(F.lit(1)).alias("m"), F.min("pos").alias("pos"))
         for old in tested:
             met = met.join(old.select("a", "b"), ["a", "b"], "left_anti")
         # the pivot with most tokens in common and the one with the rarest
@@ -240,16 +232,25 @@ def _joined(ordered: DataFrame, percent: int) -> DataFrame:
         tested.append(fresh)
         links = reduce(DataFrame.unionByName, tested).filter("similar").select("a", "b")
         labels = components(links)
-    now = current()
+    # The first common token of a pair is in the shortest prefix of both, and all that is common stands behind it. So entries
+    # meet under the first of these conditions only, which leaves about the pairs that differ by the tokens they lack.
+    now = current().filter(100 * (F.col("s") - F.col("pos")) >= percent * F.col("n"))
     open_ = now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-    left = stored(now.join(open_, "token").select("token", "rare", "nid", "n", "s", "h", "l", "pos", "label"), "left")
-    mate = left.select("token", F.col("nid").alias("b"), F.col("n").alias("pn"), F.col("s").alias("ps"), F.col("h").alias("ph"), F.col("l").alias("pl"), F.col("pos").alias("ppos"), F.col("label").alias("plabel"))
-    rest = left.join(mate, "token").filter((F.col("nid") < F.col("b")) & (F.col("label") != F.col("plabel")) & fits)
-    # where all common prefix tokens are counted: up to the last one none is missed, and behind it at most what is left is common
-    behind = F.least(F.col("s") - F.col("pos"), F.col("ps") - F.col("ppos")) - 1
-    pair = rest.groupBy(F.col("nid").alias("a"), "b").agg(F.count(F.lit(1)).alias("m"), F.min(F.least("l", "pl")).alias("l"), F.min(behind).alias("behind"), F.first(total).alias("total"), F.first(plenty).alias("counted"))
-    rest = pair.filter(~F.col("counted") | ((F.col("m") >= F.col("l")) & ((100 + percent) * (F.col("m") + F.col("behind")) >= percent * F.col("total")))).select("a", "b")
+    left = stored(now.join(open_, "token").select("token", "nid", "n", (F.col("s") - F.col("pos")).alias("rest"), "label"), "left")
+    mate = left.select("token", F.col("nid").alias("b"), F.col("n").alias("pn"), F.col("rest").alias("prest"), F.col("label").alias("plabel"))
+    pairs = left.join(mate, "token").filter((F.col("nid") < F.col("b")) & (F.col("label") != F.col("plabel")) & enough(F.least("rest", "prest"), F.col("n") + F.col("pn"))).select(F.col("nid").alias("a"), "b").distinct()
     for old in tested:
-        rest = rest.join(old.select("a", "b"), ["a", "b"], "left_anti").join(old.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    last = stored(verified(rest, ordered, percent), "verified").filter("similar").select("a", "b")
-    return components(reduce(DataFrame.unionByName, [x.filter("similar").select("a", "b") for x in tested] + [last]))
+        pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti").join(old.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    pairs = stored(multi_matched(pairs, entries), "pairs")
+    last = stored(verified(pairs, ordered, percent), "verified").filter("similar").select("a", "b")
+    out = components(reduce(DataFrame.unionByName, [x.filter("similar").select("a", "b") for x in tested] + [last]))
+    drop(entries, left, pairs)
+    return out
+
+
+def multi_matched(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """The pairs whose lengthened prefixes have as many tokens in common as the shorter of the two lengthenings asks for."""
+    lists = entries.groupBy("nid").agg(F.collect_list("token").alias("t"), F.max("l").alias("l"))
+    for side in "ab":
+        pairs = pairs.join(lists.select(F.col("nid").alias(side), F.col("t").alias(f"t{side}"), F.col("l").alias(f"l{side}")), side)
+    return pairs.filter(F.size(F.array_intersect("ta", "tb")) >= F.least("la", "lb")).select("a", "b")
