@@ -1,9 +1,9 @@
 """Exact removal of repeated passages of bytes: depth-limited radix sort of suffixes.
 
 The sort never goes deeper than the threshold, so its groups of equal suffixes
-are exactly the repeated windows. Digits are not single bytes: the first is the
-window's anchor and block, the last the window itself (see ``windows``), which
-leaves the groups the same and spares most suffixes the later passes.
+are exactly the repeated windows. Digits are not single bytes but lengthening
+stretches around anchors (see ``windows``), which leaves the groups the same
+and spares most suffixes the later passes.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from marlpit.llm import windows as W
-from marlpit.llm.shared import keyed, map_batches
+from marlpit.llm.shared import drop, keyed, map_batches
 from marlpit.llm.textkit import cover, slices
 
 
@@ -31,6 +31,7 @@ def remove_repeats(documents: DataFrame, threshold: int = 200, gram: int = 24) -
     docs = keyed(documents)
     table = W.block_table(docs, spec)
     live = W.live_blocks(table)
+    drop(table)
     runs = W.repeated_in_classes(W.opened(docs, live, spec), spec, earlier=False)
     spans = W.repeated_spans(live, runs, spec, earlier=False)
     both = docs.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")

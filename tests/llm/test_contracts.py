@@ -57,13 +57,65 @@ def test_op4_query_compacts(spark, monkeypatch):
     assert "compact" in met[:-1] and met[-1] == "batch"
 
 
-@pytest.mark.parametrize("name", ["HOT_LEAST", "HOT_ANCHOR"])
-def test_hot_groups(docs, rows, monkeypatch, name):
-    monkeypatch.setattr(windows, name, 3)
+def test_hot_groups(docs, rows, monkeypatch):
+    monkeypatch.setattr(windows, "HOT_LEAST", 3)
+    monkeypatch.setattr(windows, "PIECE", 777)
     assert got(substrings.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.op7(rows)
     assert got(fingerprints.remove_seen(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.op4(rows)
 
 
+def test_one_anchor_everywhere(spark):
+    """Thousands of texts that share a passage shorter than a window, and some that share a little more on either side."""
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    tail, head, core = [noise(40) for _ in range(30)], [noise(60) for _ in range(30)], noise(150)
+    rows = [(i, noise(90) + rng.choice([*head, noise(60), noise(60)]) + core + rng.choice([*tail, noise(40), noise(40)]) + noise(90)) for i in range(1500)]
+    docs = brute.frame(spark, rows)
+    assert got(substrings.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.op7(rows)
+    rows = [(i, " ".join(t)) for i, t in rows]
+    docs = brute.frame(spark, rows)
+    assert got(fingerprints.remove_seen(docs, batches=3), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.op4(rows)
+
+
+def test_index_reopened(spark, tmp_path):
+    """An index opened anew holds the runs of the batches before, compacted or not, and no others' files."""
+    rng = random.Random(4)
+    passage = brute.prose(rng, 70)
+    rows = [(i, brute.prose(rng, 60) + " " + (passage if i % 3 == 0 else "") + " " + brute.prose(rng, 30)) for i in range(40)]
+    rows[37] = (37, rows[2][1])
+    keyed, met = fingerprints.keyed(brute.frame(spark, rows)), []
+    for lo in range(0, 40, 8):
+        index = fingerprints.FingerprintIndex(spark, str(tmp_path / "index"), fan_in=2)
+        assert len(index.runs) == (lo // 8 if lo < 24 else lo // 8 - 2)
+        live = index.matched(keyed.filter(f"k1 >= {lo} and k1 < {lo + 8}"))
+        met += [(r.k1, r.least) for r in live.filter("new and least < k1").collect()]
+        spark.catalog.clearCache()
+        for name in index.runs:
+            spark.sql(f"DROP TABLE {name}")
+    names = [p.name for p in (tmp_path / "index").iterdir() if not p.name.startswith(".")]
+    assert len([n for n in names if n.startswith("run_")]) == len(index.runs) and (37, 2) in met
+    assert {k for k, _ in met} >= {i for i in range(3, 40, 3)} and all(a % 3 == 0 for a, _ in met if a != 37)
+
+
+def morse(n, a, b):
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+def test_thue_morse(spark):
+    """Texts by which sums of powers modulo 2 ** 64 collide are told apart."""
+    x, y = morse(4096, "a", "b"), morse(4096, "b", "a")
+    long = [" ".join(morse(2048, *p)) for p in ("ab", "ba")]
+    rows = [(1, f"{x} z z z z"), (2, f"{y} z z z z"), (3, x), (4, y), (5, f"{x}\n{y}\n{x}\n{y} q"), (6, " ".join([x] * 50)), (7, " ".join([y] * 50)), *enumerate(long, 8)]
+    docs, items = brute.frame(spark, rows), [(1, x), (2, f"{y} no")]
+    assert got(neardup.similar_groups(docs), "doc_id", "n_shingles", "component_id") == brute.op1(rows)
+    assert got(fingerprints.remove_seen(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.op4(rows)
+    assert got(substrings.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.op7(rows)
+    out = decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert got(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == brute.op8(rows, items)
+    out = rules.quality_rules(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert got(out, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == brute.op10(rows)
+
+
 def test_op7(docs, rows):
     out = substrings.remove_repeats(docs)
     assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.op7(rows)
