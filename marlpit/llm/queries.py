@@ -28,7 +28,7 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.remove_seen(table(spark, sf_dir, "documents"), batches=6).drop("kept_text")
+    return fingerprints.remove_seen(table(spark, sf_dir, "documents"), batches=4, fan_in=2).drop("kept_text")
 
 
 def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
