@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
+from functools import reduce
 
 import numpy as np
 from pyspark import TaskContext
@@ -30,6 +31,8 @@ _CANDIDATE = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x2
 _GROUP = r"(?![0-9]{16})[0-9]++"
 _RUN = re.compile(rf"(?:(?<![^\x20\x09-\x0D\"'\[{{<:=,;/])|(?<=[\x20\x09-\x0D]\()|(?<=^\())\+?(?:\((?=[0-9]++\)))?{_GROUP}(?:(?!\.\x20)[\x20().-]{{1,4}}+{_GROUP})+(?=[.,;:!?)\"']*+(?:[\x20\x09-\x0D]|\Z))")
 MOST_DIGITS = 19
+#: What an unknown candidate weighs against a pattern that meets it, where a known one of another kind weighs 1.
+UNKNOWN = 0.25
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -141,11 +144,23 @@ def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]
     return out
 
 
+_LETTERS = re.compile(r"[^\W\d_]")
+
+
+def shape(instance: str) -> str:
+    """The instance with 0 for each digit and a for each letter."""
+    return _LETTERS.sub("a", re.sub("[0-9]", "0", instance))
+
+
+def digest(value: str) -> str:
+    return hashlib.blake2b(value.encode(), digest_size=8).hexdigest()
+
+
 def mentions(documents: DataFrame) -> DataFrame:
     """Per document a row of start -1 with its base spans, and a row for each seed (with its kind) and candidate (kind null) with its neighbouring words. Stored; ``row`` names the document."""
 
     def run(batch):
-        keys = ("row", "doc_id", "kind", "start", "end", "instance", "before", "after", "base", "counts")
+        keys = ("row", "doc_id", "kind", "start", "end", "instance", "before", "after", "shape", "base", "counts")
         out: dict[str, list] = {k: [] for k in keys}
         part = TaskContext.get().partitionId() << 36
 
@@ -158,10 +173,10 @@ def mentions(documents: DataFrame) -> DataFrame:
             row = part + done[0]
             done[0] += 1
             spans = base_spans(text)
-            add(row, doc_id, None, -1, -1, None, None, None, joined(spans), [len(spans[k]) for k in KINDS])
+            add(row, doc_id, None, -1, -1, None, None, None, None, joined(spans), [len(spans[k]) for k in KINDS])
             taken = sorted((a, b) for v in spans.values() for a, b in v)
             near = Neighbours(text)
-            note = lambda kind, a, b: add(row, None, kind, a, b, hashlib.blake2b(text[a:b].encode(), digest_size=8).hexdigest(), *near.contexts(a, b), None, None)  # noqa: B023, E731
+            note = lambda kind, a, b: add(row, None, kind, a, b, digest(text[a:b]), *near.contexts(a, b), digest(shape(text[a:b])), None, None)  # noqa: B023, E731
             for kind, found in spans.items():
                 for a, b in found:
                     note(kind, a, b)
@@ -171,37 +186,49 @@ def mentions(documents: DataFrame) -> DataFrame:
 
     done = [0]
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(map_batches(docs, run, "row long, doc_id long, kind string, start int, end int, instance string, before string, after string, base string, counts array<long>"), "mentions")
+    return stored(map_batches(docs, run, "row long, doc_id long, kind string, start int, end int, instance string, before string, after string, shape string, base string, counts array<long>"), "mentions")
 
 
-def bootstrap(found: DataFrame, rounds: int = 3, support: int = 5, confidence: float = 0.8) -> DataFrame:
+def bootstrap(found: DataFrame, support: int = 5, confidence: float = 0.8) -> DataFrame:
     """row, start, end, kind of candidates that high-confidence patterns discover.
 
-    A pattern is a neighbouring word on one side of an instance. The bipartite
-    graph of patterns and instances is scored in turns: a pattern's confidence
-    in a kind is the mean score of the distinct instances it meets, seeds
-    counting 1 for their kind and unknown candidates what they have so far; an
-    instance's score is 1 minus the product of its patterns' doubts, over
-    patterns of enough ``support`` and ``confidence``.
+    A pattern is a neighbouring word on one side of an instance, the words on
+    both sides together, or the instance's own shape. The bipartite graph of
+    patterns and instances is scored in turns: a pattern's confidence in a kind
+    is the mean score of the distinct instances it meets, where seeds count 1
+    for their kind, discovered ones what they were discovered with, and those
+    still unknown weigh UNKNOWN against it; an instance's score is 1 minus the
+    product of its patterns' doubts, over patterns of enough ``support`` by
+    known instances of the kind (the first of them seeds) and enough
+    ``confidence``. Discovered instances stay, so the turns end: once one
+    discovers nothing.
     """
-    edges = found.filter("start >= 0").select("instance", "kind", F.explode(F.array(F.struct(F.lit("<").alias("side"), F.col("before").alias("word")), F.struct(F.lit(">").alias("side"), F.col("after").alias("word")))).alias("p"))
+    pair = F.when((F.col("before") != "") & (F.col("after") != ""), F.concat("before", F.lit("\x20"), "after")).otherwise("")
+    kinds = [("<", F.col("before")), (">", F.col("after")), ("<>", pair), ("=", F.col("shape"))]
+    edges = found.filter("start >= 0").select("instance", "kind", F.explode(F.array(*(F.struct(F.lit(k).alias("side"), w.alias("word")) for k, w in kinds))).alias("p"))
     edges = stored(edges.filter("p.word <> ''").select(F.xxhash64("p.side", "p.word").alias("pattern"), "instance", "kind").distinct(), "edges")
-    seeds = edges.filter("kind is not null").select("instance", "kind", F.lit(1.0).alias("score"), F.lit(True).alias("seed")).distinct()
-    known, good = seeds, None
+    known = stored(edges.filter("kind is not null").select("instance", "kind", F.lit(1.0).alias("score"), F.lit(True).alias("seed")).distinct(), "known")
     size = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("n"))
-    for _ in range(rounds):
-        votes = edges.select("pattern", "instance").join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("votes"), F.count(F.when(F.col("seed"), 1)).alias("seeds"))
-        good = stored(votes.join(size, "pattern").withColumn("confidence", F.col("votes") / F.col("n")).filter((F.col("seeds") >= support) & (F.col("confidence") >= confidence)).select("pattern", "kind", "confidence"), "patterns")
+    parts = [known]
+    while True:
+        known = reduce(DataFrame.unionByName, parts)
+        met = edges.select("pattern", "instance").distinct().join(known, "instance")
+        votes = met.groupBy("pattern", "kind").agg(F.sum("score").alias("votes"), F.count(F.lit(1)).alias("known"))
+        weight = size.join(met.groupBy("pattern").agg(F.count_distinct("instance").alias("k")), "pattern").select("pattern", (F.col("k") + UNKNOWN * (F.col("n") - F.col("k"))).alias("n"))
+        good = votes.filter(F.col("known") >= support).join(weight, "pattern").withColumn("confidence", F.col("votes") / F.col("n")).filter(F.col("confidence") >= confidence).select("pattern", "kind", "confidence")
         doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))
-        new = edges.filter("kind is null").select("pattern", "instance").join(good, "pattern").groupBy("instance", "kind").agg((1 - doubt).alias("score"))
-        new = new.filter(F.col("score") >= confidence)
+        new = edges.filter("kind is null").select("pattern", "instance").join(good, "pattern").groupBy("instance", "kind").agg((1 - doubt).alias("score")).filter(F.col("score") >= confidence)
         best = new.groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("x")).select("instance", "x.kind", "x.score", F.lit(False).alias("seed"))
-        known = stored(seeds.unionByName(best.join(seeds.select("instance"), "instance", "left_anti")), "known")
-    discovered = known.filter("not seed").select("instance", F.col("kind").alias("as"))
+        fresh = stored(best.join(known.select("instance"), "instance", "left_anti"), "known")
+        if fresh.isEmpty():
+            break
+        parts.append(fresh)
+    # seeds are among them, as the fixed patterns can miss in one text what they find in another
+    discovered = known.groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("x")).select("instance", F.col("x.kind").alias("as"))
     return found.filter("start >= 0 and kind is null").join(discovered, "instance").select("row", "start", "end", F.col("as").alias("kind"))
 
 
-def find_personal_data(documents: DataFrame, rounds: int = 3, support: int = 5, confidence: float = 0.8) -> DataFrame:
+def find_personal_data(documents: DataFrame, support: int = 5, confidence: float = 0.8) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Counts and hash are of the base spans; ``spans`` lists these and the
@@ -211,7 +238,7 @@ def find_personal_data(documents: DataFrame, rounds: int = 3, support: int = 5,
     each; without seeds nothing is discovered; an empty table gives no rows.
     """
     found = mentions(documents)
-    more = bootstrap(found, rounds, support, confidence)
+    more = bootstrap(found, support, confidence)
     more = more.groupBy("row").agg(F.collect_list(F.concat_ws(":", "kind", "start", "end")).alias("more"))
     both = found.filter("start = -1").select("row", "doc_id", "base", "counts").join(more, "row", "left")
     every = F.concat(F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.split("base", ",")), F.coalesce("more", F.array().cast("array<string>")))

@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+from marlpit.llm import identifiers
+
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k1 string, k2 int, spans string, tokens string"
@@ -168,3 +170,31 @@ def op3(rows):
         found = pii(t or "")
         out.append((d, *(len(v) for v in found.values()), sha(",".join(f"{k}:{a}:{b}" for k, v in found.items() for a, b in v))))
     return Counter(out)
+
+
+def bootstrapped(mentions, support=5, confidence=0.8):
+    """(instance: kind) that patterns discover, from (kind or None, instance, before, after, shape) tuples, turn by turn."""
+    edges = defaultdict(set)
+    for kind, instance, before, after, shape in mentions:
+        for p in (("<", before), (">", after), ("<>", before and after and (before, after)), ("=", shape)):
+            if p[1]:
+                edges[p].add(instance)
+    known = {(i, k): 1.0 for k, i, *_ in mentions if k}
+    unknown = {i for k, i, *_ in mentions if not k}
+    while True:
+        doubts = defaultdict(lambda: 1.0)
+        for p, members in edges.items():
+            some = sum(any((i, k) in known for k in identifiers.KINDS) for i in members)
+            for kind in identifiers.KINDS:
+                score = [known[i, kind] for i in members if (i, kind) in known]
+                mean = sum(score) / (some + identifiers.UNKNOWN * (len(members) - some)) if score else 0.0
+                if len(score) >= support and mean >= confidence:
+                    for i in members & unknown:
+                        doubts[i, kind] *= max(1e-9, 1 - mean)
+        best = {}
+        for (i, kind), d in doubts.items():
+            if 1 - d >= confidence and not any((i, k) in known for k in identifiers.KINDS):
+                best[i] = max(best.get(i, (0, "")), (1 - d, kind))
+        if not best:
+            return {i: k for (i, k), _ in sorted(known.items(), key=lambda x: (x[1], x[0][1])) if i in unknown}
+        known |= {(i, kind): s for i, (s, kind) in best.items()}
