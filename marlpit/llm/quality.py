@@ -91,7 +91,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], epochs: int
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = 6000) -> Machine | None:
-    """A machine from at most ``sample`` labelled documents outside the held-out fold, those whose ids hash least."""
+    """A machine from at most ``sample`` labelled documents outside the held-out fold, those whose ids hash least; of rows that share an id, one."""
     few = labels.filter("doc_id is not null and quality is not null").filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     few = few.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = documents.select("doc_id", "text").join(F.broadcast(few), "doc_id")
@@ -108,7 +108,9 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 6000) -> Machin
                 "x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32())),
             }
 
-    table = map_batches(chosen, features, "doc_id long, y int, slot array<int>, value array<float>, x array<float>").toArrow()
+    table = map_batches(chosen, features, "doc_id long, y int, slot array<int>, value array<float>, x array<float>")
+    # one row an id, however often it occurs, so that ``sample`` bounds what the driver takes
+    table = table.groupBy("doc_id").agg(F.min(F.struct("x", "slot", "value", "y")).alias("r")).select("doc_id", "r.*").toArrow()
     rows = []
     for batch in table.to_batches():
         ends = np.asarray(batch.column("slot").offsets)

@@ -218,6 +218,56 @@ def test_contexts_discover(spark):
     assert spans[100] == "phone:12:24" and spans[101] == "" and spans[3] == "phone:12:27"
 
 
+def hidden_rows(n=1500, share=0.3, seed=7):
+    """Texts with identifiers in a few contexts; a share of them is written so that no fixed pattern has it. And numbers that are none."""
+    rng, rows, hidden = random.Random(seed), [], set()
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    cards = luhn_cards(100)
+    kinds = {
+        "phone": (["call", "tel:", "ring me at"], lambda: f"+1 555 {digits(3)} {digits(4)}", lambda: rng.choice([f"0555-{digits(3)}-{digits(4)}", f"0555 {digits(3)} {digits(4)}"])),
+        "email": (["write to", "mail"], lambda: f"u{digits(5)}@ex.org", lambda: f"u{digits(5)}@host"),
+        "card": (["pay with", "visa"], lambda: rng.choice(cards), lambda: f"{digits(4)}-{digits(4)}-{digits(4)}-{digits(3)}"),
+        "ip": (["from host"], lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), lambda: f"{rng.randint(300, 999)}.1.{rng.randint(0, 255)}.9"),
+    }
+    for i in range(n):
+        kind = rng.choice(list(kinds))
+        before, seen, unseen = kinds[kind]
+        hide = rng.random() < share
+        value = (unseen if hide else seen)()
+        head = f"{brute.prose(rng, rng.randint(0, 9))} {rng.choice(before)} ".lstrip()
+        rows.append((i, f"{head}{value} {rng.choice(['now', 'soon', 'today'])} {brute.prose(rng, 3)}"))
+        if hide:
+            hidden.add((i, f"{kind}:{len(head)}:{len(head) + len(value)}"))
+    rows += [(n + i, f"{brute.prose(rng, 5)} {rng.choice(['in', 'room', 'page'])} {digits(rng.randint(4, 9))} {brute.prose(rng, 5)}") for i in range(n // 2)]
+    return rows, hidden
+
+
+def test_hidden_identifiers(spark):
+    """Of identifiers hidden from the fixed patterns nine in ten are discovered, and nineteen in twenty discoveries are such."""
+    rows, hidden = hidden_rows()
+    out = identifiers.find_personal_data(brute.frame(spark, rows)).collect()
+    base = {(d, k, a, b) for d, t in rows for k, v in identifiers.base_spans(t).items() for a, b in v}
+    found = {(r.doc_id, x) for r in out for x in r.spans.split(",") if x and (r.doc_id, x.split(":")[0], *map(int, x.split(":")[1:])) not in base}
+    assert len(found & hidden) >= 0.9 * len(hidden) > 300 and len(found & hidden) >= 0.95 * len(found)
+
+
+def test_spans_brute(spark):
+    """Discovered spans against plain turns over the same graph, on prose, on texts full of odd numbers and on hidden identifiers."""
+    for rows in (personal_rows(), hidden_rows(300, 0.5, 3)[0], [(i, f"key{i} = {i % 7}{i:04} . {'call' if i % 3 else 'the'} +1 555 010 {i:04} end") for i in range(60)]):
+        mentions, where = [], []
+        for d, text in rows:
+            text = text or ""
+            spans, near = identifiers.base_spans(text), identifiers.Neighbours(text)
+            taken = sorted((a, b) for v in spans.values() for a, b in v)
+            for kind, a, b in [*((k, *x) for k, v in spans.items() for x in v), *((None, *x) for x in identifiers.candidates(text, taken))]:
+                mentions.append((kind, text[a:b], *near.contexts(a, b), identifiers.shape(text[a:b])))
+                where.append((d, kind, a, b, text[a:b]))
+        new = brute.bootstrapped(mentions)
+        want = Counter((d, f"{k or new[i]}:{a}:{b}") for d, k, a, b, i in where if k or i in new)
+        out = identifiers.find_personal_data(brute.frame(spark, rows)).collect()
+        assert Counter((r.doc_id, x) for r in out for x in r.spans.split(",") if x) == want
+
+
 def luhn_cards(n):
     heads = [f"4000 12{i:02} 3456 789" for i in range(n)]
     return [next(c for d in range(10) if brute.luhn((c := f"{h}{d}").replace(" ", ""))) for h in heads]
@@ -294,6 +344,43 @@ def test_op2(spark, docs, rows):
     assert quality.score(docs, labels.limit(0)).first().score == 0.5
 
 
+def test_op2_pairs():
+    """The linear-time score against the sum over all pairs of features."""
+    rng = np.random.default_rng(2)
+    size, n = 60, 20
+    machine = quality.Machine(0.3, rng.normal(size=size), rng.normal(size=(size, quality.RANK)), np.zeros((0, 0)))
+    row, slot = np.repeat(np.arange(n), 9), np.concatenate([rng.choice(size, 9, replace=False) for _ in range(n)])
+    value = rng.normal(size=9 * n)
+    for i, got_ in enumerate(machine.raw(slot, value, row, n)):
+        s, x = slot[row == i], value[row == i]
+        pairs = sum(machine.factors[s[a]] @ machine.factors[s[b]] * x[a] * x[b] for a in range(9) for b in range(a))
+        assert abs(got_ - (0.3 + machine.weights[s] @ x + pairs)) < 1e-9
+
+
+def test_op10_paths():
+    """Forest scores against trees that are walked one row at a time."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4)).astype(np.float32)
+    forest = rules.Forest(x, trees=7, sample=64)
+    probe = np.concatenate([x[:20], 3 * x[20:30]])
+    for row, got_ in zip(probe, forest.scores(probe), strict=True):
+        total = 0.0
+        for t in range(7):
+            node = 0
+            while forest.feature[t, node] >= 0:
+                node = 2 * node + (2 if row[forest.feature[t, node]] >= forest.split[t, node] else 1)
+            total += float(forest.path[t, node])
+        assert abs(got_ - 2 ** (-total / 7 / rules.expected(64))) < 1e-9
+
+
+def test_repeated_labelled_ids(spark):
+    """An id that many rows share trains as one row."""
+    rows = [(1, "good words here now " * 30)] * 300 + [(i, "other text of words " * 10) for i in range(2, 9)]
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 9)], "doc_id long, quality int")
+    docs = brute.frame(spark, rows)
+    assert quality.score(docs, labels).count() == rules.quality_rules(docs, labels).count() == len(rows)
+
+
 def test_op2_held_out(spark):
     sf = SF.replace("0.001", "0.1")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
