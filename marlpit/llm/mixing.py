@@ -5,18 +5,20 @@ from __future__ import annotations
 import math
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlpit.llm.shared import stored
+from marlpit.llm.shared import drop, stored
 
 #: A table of a row a source is broadcast up to so many sources; beyond, Spark chooses the join.
 BROADCAST_SOURCES = 100_000
 #: No exponent beyond is tried.
 FARTHEST = 2.0**50
 #: Columns that mixing adds; it takes the place of columns of these names.
-MIXED = ("tokens", "source_tokens", "weight", "quota", "copies")
+MIXED = ("tokens", "source_tokens", "weight", "quota", "copies", "place")
+#: Blocks of a source whose tokens are summed before the sums are put in order.
+BLOCKS_A_SUM = 1024
 
 
 def temperature(tokens: dict[str, int], entropy: float | None = None, repeats: float | None = None, budget: int | None = None) -> tuple[float, dict[str, float]]:
@@ -79,57 +81,77 @@ def temperature(tokens: dict[str, int], entropy: float | None = None, repeats: f
 
 
 def mix_sources(documents: DataFrame, **options) -> DataFrame:
-    """Per document: its columns and source_tokens, weight, quota, tokens, copies.
+    """Per document: its columns and tokens, source_tokens, weight, quota, copies, place.
 
     Tokens are words (runs of non-blanks). Each source gets weight * budget
     tokens, budget being ``budget_share`` of all. Its documents stand in a
     permutation of blocks, each block a permutation of its documents, both by a
     seeded hash of id and text; whole passes give every document a copy and the
     last pass runs until the quota is reached, so a source exceeds its quota by
-    less than one document. Documents without words follow their place; a
+    less than one document. ``place`` is where in the mixed corpus, from 0 to 1,
+    the document's first copy stands; sources advance side by side, each through
+    its permutation. Documents without words follow their place; a
     missing source is a source of its own; equal rows stand in one place and
-    get as many copies each; an empty table gives no rows.
+    get as many copies each; a text of any length is one document; an empty
+    table gives no rows.
 
     ``options`` are those of ``placed_copies``. A column of a name that is added
-    here is replaced. Only sums per block and the one block of each source in which its last
-    pass ends are shuffled; texts are not. The bisection needs the sources'
-    token counts, a row each, on the driver.
+    here is replaced, all others may have any name. Only counts are shuffled,
+    texts are not. The bisection needs the sources' token counts, a row each, on
+    the driver.
     """
-    out = placed_copies(documents, **options)
-    return out.select(*(c for c in documents.columns if c not in MIXED), *(F.col(f"__{c}").alias(c) for c in MIXED))
+    out = placed_copies(documents, **options).withColumn("place", F.when(F.col("copies") > 0, F.col("part") / F.col("passes")))
+    return out.select(*(F.col("row")[c].alias(c) for c in documents.columns if c not in MIXED), *MIXED)
+
+
+def _crossing(sums: DataFrame, key: str, base: Column) -> DataFrame:
+    """Of each source the first key, in order, by which the sum of n reaches rest, and the sum before it, at."""
+    so_far = base + F.sum("n").over(Window.partitionBy("src").orderBy(key))
+    return sums.withColumn("at", so_far - F.col("n")).filter((F.col("at") < F.col("rest")) & (F.col("at") + F.col("n") >= F.col("rest")))
 
 
 def placed_copies(documents: DataFrame, entropy: float | None = None, repeats: float | None = 2.0, budget_share: float = 1.0, seed: int = 17, block_tokens: int = 1 << 20) -> DataFrame:
-    """The documents' columns and, named with two underscores before them, those of ``mix_sources``."""
-    docs = documents.withColumns({
-        "__src": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")),
-        "__tokens": F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+"))).cast("long"),
-        "__h": F.xxhash64(F.lit(seed), "doc_id", "text"),
-    })
-    sizes = {r["__src"]: r["n"] for r in docs.groupBy("__src").agg(F.sum("__tokens").alias("n")).collect()}
+    """row (the document's columns), tokens, source_tokens, weight, quota, copies, and where in a pass it stands (part, from 0 to 1) of how many passes."""
+    docs = documents.select(
+        F.struct("*").alias("row"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("src"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+"))).cast("long").alias("tokens"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"),
+    )
+    narrow = stored(docs.select("src", "tokens", "h"), "counts")
+    sizes = {r["src"]: r["n"] for r in narrow.groupBy("src").agg(F.sum("tokens").alias("n")).collect()}
     budget = int(sum(sizes.values()) * budget_share)
     _, weights = temperature(sizes, entropy, repeats, budget)
     quota = {s: math.floor(weights.get(s, 0.0) * budget) for s in sizes}
     plan = documents.sparkSession.createDataFrame(
         [(s, n, weights.get(s, 0.0), quota[s], quota[s] // n if n else 0, quota[s] % n if n else 0, -(-n // block_tokens) or 1) for s, n in sorted(sizes.items())],
-        "__src string, __source_tokens long, __weight double, __quota long, __whole long, __rest long, __blocks long",
+        "src string, source_tokens long, weight double, quota long, whole long, rest long, blocks long",
     )
-    placed = docs.join(plan, "__src").withColumn("__b", F.pmod(F.xxhash64(F.lit(seed + 1), "__h"), F.col("__blocks")))
-    # the block of each source in which the last pass ends, from one row a block
-    blocks = placed.groupBy("__src", "__b", "__rest").agg(F.sum("__tokens").alias("n"))
-    so_far = F.sum("n").over(Window.partitionBy("__src").orderBy("__b"))
-    last = stored(blocks.withColumn("__at", so_far - F.col("n")).filter((F.col("__at") < F.col("__rest")) & (F.col("__at") + F.col("n") >= F.col("__rest"))).select("__src", F.col("__b").alias("__cb"), "__at"), "last")
+    block = F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.col("blocks"))
+    counted = narrow.join(plan, "src").withColumn("b", block)
+    # the block of each source in which the last pass ends: among sums of many blocks first, then among these
+    sums = stored(counted.groupBy("src", "b", "rest").agg(F.sum("tokens").alias("n")).withColumn("g", F.floor(F.col("b") / BLOCKS_A_SUM)), "blocks")
+    group = _crossing(sums.groupBy("src", "g", "rest").agg(F.sum("n").alias("n")), "g", F.lit(0)).select("src", "g", F.col("at").alias("base"))
+    last = stored(_crossing(sums.join(group, ["src", "g"]), "b", F.col("base")).select("src", F.col("b").alias("cb"), "at"), "last")
     # the first place in that block before which the quota is reached
-    inside = placed.join(last, (placed["__src"] == last["__src"]) & (F.col("__b") == F.col("__cb"))).groupBy(placed["__src"].alias("__src"), "__rest", "__at", "__h").agg(F.sum("__tokens").alias("n"))
-    before = F.col("__at") + F.sum("n").over(Window.partitionBy("__src").orderBy("__h").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    stop = inside.withColumn("__before", before).filter("__before >= __rest").groupBy("__src").agg(F.min("__h").alias("__ch"))
-    cut = stored(plan.join(last.drop("__at"), "__src", "left").join(stop, "__src", "left").select("__src", F.coalesce("__cb", F.lit(-1)).alias("__cb"), "__ch"), "cut")
-    out = placed.join(F.broadcast(cut) if len(sizes) <= BROADCAST_SOURCES else cut, "__src")
-    extra = (F.col("__b") < F.col("__cb")) | ((F.col("__b") == F.col("__cb")) & (F.col("__ch").isNull() | (F.col("__h") < F.col("__ch"))))
-    return out.withColumn("__copies", F.col("__whole") + F.when(extra, 1).otherwise(0))
+    inside = counted.filter("tokens > 0").join(last, "src").filter("b = cb").groupBy("src", "rest", "at", "h").agg(F.sum("tokens").alias("n"))
+    before = F.col("at") + F.sum("n").over(Window.partitionBy("src").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    stop = inside.withColumn("before", before).filter("before >= rest").groupBy("src").agg(F.min("h").alias("ch"))
+    cut = stored(plan.join(last.drop("at"), "src", "left").join(stop, "src", "left").withColumn("cb", F.coalesce("cb", F.lit(-1))), "cut")
+    drop(narrow, sums, last)
+    out = docs.join(F.broadcast(cut) if len(sizes) <= BROADCAST_SOURCES else cut, "src").withColumn("b", block)
+    extra = (F.col("b") < F.col("cb")) | ((F.col("b") == F.col("cb")) & (F.col("ch").isNull() | (F.col("h") < F.col("ch"))))
+    part = (F.col("b") + (F.col("h") / 2.0**64 + 0.5)) / F.col("blocks")
+    passes = F.when(F.col("quota") > 0, F.col("quota") / F.col("source_tokens")).otherwise(1.0)
+    return out.select("row", "tokens", "source_tokens", "weight", "quota", (F.col("whole") + F.when(extra, 1).otherwise(0)).alias("copies"), part.alias("part"), passes.alias("passes"))
 
 
 def realised(documents: DataFrame, **options) -> DataFrame:
-    """Each document as often as its copies say, with its own columns alone."""
-    out = placed_copies(documents, **options).filter("__copies > 0")
-    return out.withColumn("__c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(documents.columns)
+    """The mixed corpus: each document as often as its copies say, with its own columns alone, in the order of the places of its copies.
+
+    Every stretch of the order holds the sources by their weights, and what a
+    source adds to it follows the source's block permutation, pass after pass.
+    Nulls, ties, repeated rows, long texts and clashing names are as in
+    ``mix_sources``; an empty table gives no rows.
+    """
+    out = placed_copies(documents, **options).filter("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    place = (F.col("pass") + F.col("part")) / F.col("passes")
+    return out.withColumn("place", place).repartitionByRange("place").sortWithinPartitions("place").select("row.*")

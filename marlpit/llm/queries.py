@@ -36,7 +36,7 @@ def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents"), entropy=0.97, repeats=2.0).select("doc_id", "source", "tokens", "weight", "quota", "copies")
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), entropy=0.97, repeats=2.0).select("doc_id", "source", "tokens", "weight", "quota", "copies", "place")
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

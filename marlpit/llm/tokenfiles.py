@@ -6,6 +6,7 @@ import json
 import re
 import struct
 import zlib
+from collections.abc import Sequence
 from itertools import chain
 
 import numpy as np
@@ -189,8 +190,8 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def write_tokens(documents: DataFrame, path: str, end_id: int = 0, bits: bool = False) -> DataFrame:
-    """Encodes and stores; shard, seq, n_ids, payload: the files in ascending order of doc_id.
+def write_tokens(documents: DataFrame, path: str, end_id: int = 0, bits: bool = False, order: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Encodes and stores; shard, seq, n_ids, payload: the files in ascending order of doc_id, or of other columns.
 
     ``path``: the tokenizer's file, there on every executor. Rows without a
     doc_id come first, those that share one in order of their text's hash. A
@@ -198,8 +199,9 @@ def write_tokens(documents: DataFrame, path: str, end_id: int = 0, bits: bool =
     stored table, so only Spark needs to reach the store and a lost executor's
     files are written again.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    placed = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    docs = documents.select(*(F.col(c).alias(f"by{i}") for i, c in enumerate(order)), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    by = [*(f"by{i}" for i in range(len(order))), F.xxhash64("text")]
+    placed = docs.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
     schema = pa.schema([("shard", pa.int64()), ("seq", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
 
     def run(batches):
