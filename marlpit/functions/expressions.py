@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,3 +50,12 @@ def cast_to(column: Column, type_name: str) -> Column:
 
 def columns_with_prefix(columns: list[str], prefix: str) -> list[Column]:
     return [F.col(c) for c in columns if c.startswith(prefix)]
+
+
+def user_aggregate(fold: Callable[[pd.Series], object], returns: str) -> Callable[[Column], Column]:
+    """An aggregate of the user's own: ``fold`` turns a group's values, as one Series, into a value of type ``returns``.
+
+    A group's values meet in one task, so built-in aggregates, which are
+    combined before the shuffle, are to be preferred where they can say it.
+    """
+    return F.pandas_udf(fold, returns, F.PandasUDFType.GROUPED_AGG)

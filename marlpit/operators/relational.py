@@ -46,25 +46,37 @@ def two_phase(df: DataFrame, keys: Sequence[str], sums: dict[str, str], salt: in
     ``sums`` maps each column to the prefix of its outputs. Counts are summed and
     averages come from sums and counts, so the result equals one phase.
     """
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(salt)).alias("_salt")
-    part = df.groupBy(*keys, spread).agg(*(a for c, p in sums.items() for a in (F.sum(c).alias(f"{p}_sum"), F.count(c).alias(f"{p}_count"))))
+    # the row's number, not its contents: equal rows are dealt out too
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(salt)).alias("_salt")
+    part = df.select(*dict.fromkeys([*keys, *sums])).groupBy(*keys, spread).agg(*(a for c, p in sums.items() for a in (F.sum(c).alias(f"{p}_sum"), F.count(c).alias(f"{p}_count"))))
     total = part.groupBy(*keys).agg(*(F.sum(f"{p}_{x}").alias(f"{p}_{x}") for p in sums.values() for x in ("sum", "count")))
     return total.withColumns({f"{p}_avg": F.try_divide(F.col(f"{p}_sum").cast("double"), F.col(f"{p}_count")) for p in sums.values()})
 
 
 def join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]] = (), how: str = "inner", null_safe: bool = False) -> DataFrame:
-    """Equi-join on pairs of column names; no pairs give the Cartesian product.
+    """Equi-join on pairs of column names; without pairs every row matches every row.
 
     NULL keys match nothing unless ``null_safe``. The output has the left
     columns, then the right ones; a key with one name on both sides comes once.
+    Outer joins keep unmatched rows, without pairs those of a side whose other
+    side is empty.
     """
     kind = JOIN_TYPES[how.lower()]
     if not on:
-        return left.crossJoin(right)
+        return left.crossJoin(right) if kind in ("inner", "cross") else left.join(right, F.lit(True), kind)
+    if kind == "cross":
+        kind = "inner"
     if not null_safe and all(a == b for a, b in on):
         return left.join(right, [a for a, _ in on], kind)
-    pairs = [left[a].eqNullSafe(right[b]) if null_safe else left[a] == right[b] for a, b in on]
-    return left.join(right, reduce(Column.__and__, pairs), kind)
+    shared = [a for a, b in on if a == b]
+    hidden = {a: f"__right_{i}" for i, a in enumerate(shared)}
+    other = right.withColumnsRenamed(hidden)
+    pairs = [left[a].eqNullSafe(other[hidden.get(b, b)]) if null_safe else left[a] == other[hidden.get(b, b)] for a, b in on]
+    out = left.join(other, reduce(Column.__and__, pairs), kind)
+    if kind in ("left_semi", "left_anti") or not shared:
+        return out
+    mine = [F.coalesce(left[c], other[hidden[c]]).alias(c) if c in hidden else left[c] for c in left.columns]
+    return out.select(*mine, *(other[c] for c in right.columns if c not in hidden))
 
 
 def order(df: DataFrame, *keys: tuple[Column | str, bool]) -> DataFrame:
@@ -98,6 +110,12 @@ def hash_partition(df: DataFrame, n: int, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def per_shard(shards: Sequence[DataFrame], query) -> DataFrame:
-    """The same query on every shard, the answers one under the other."""
-    return reduce(DataFrame.unionByName, [query(s) for s in shards])
+def answers(shards: Sequence[DataFrame], query) -> list[DataFrame]:
+    """The same query on every shard, an answer each."""
+    return [query(s) for s in shards]
+
+
+def per_shard(shards: Sequence[DataFrame], query, shard: str | None = None) -> DataFrame:
+    """The same query on every shard, the answers one under the other; a column ``shard``, if named, has the shard's number."""
+    got = answers(shards, query)
+    return reduce(DataFrame.unionByName, got if shard is None else [x.withColumn(shard, F.lit(i)) for i, x in enumerate(got)])

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.csv  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlpit.functions.expressions import cast_to, float_div, int_div, lit
+from marlpit.functions.expressions import cast_to, float_div, int_div, lit, user_aggregate
 from marlpit.operators import relational as R
+from marlpit.plans.explain import explain_rows
+from marlpit.plans.result import Result
+from marlpit.session import Engine
+from marlpit.sources.catalog import RangeSource, from_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,12 +113,15 @@ over("having_key", "orders", "SELECT o_orderstatus, COUNT(*) AS n FROM orders GR
 over("expr_over_agg", L, "SELECT l_returnflag, COUNT(*) + 1 AS n1, ROUND(SUM(l_quantity) * 2, 2) AS q2 FROM lineitem GROUP BY 1")(lambda d: R.aggregate(d, ["l_returnflag"], [(F.count(F.lit(1)) + 1).alias("n1"), F.round(F.sum("l_quantity") * 2, 2).alias("q2")]))
 over("agg_two_phase", L, "SELECT l_returnflag, CAST(SUM(l_linenumber) AS BIGINT) AS ln_sum, COUNT(l_linenumber) AS ln_count, AVG(l_linenumber) AS ln_avg FROM lineitem GROUP BY 1")(lambda d: R.two_phase(d, ["l_returnflag"], {"l_linenumber": "ln"}))
 
+over("agg_user", "orders", "SELECT o_orderstatus, MAX(o_custkey) - MIN(o_custkey) AS spread FROM orders GROUP BY 1")(lambda d: R.aggregate(d, ["o_orderstatus"], [user_aggregate(lambda v: int(v.max() - v.min()), "bigint")(c("o_custkey")).alias("spread")]))
+
 # joins
 many("join_inner", "customer", "nation", sql="SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")(lambda a, b: R.join(a, b, [("c_nationkey", "n_nationkey")]).select("c_custkey", "n_name"))
 many("join_left", "documents", "labels", sql="SELECT d.doc_id, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")(lambda a, b: R.join(a.select("doc_id"), b, [("doc_id", "doc_id")], "left").select("doc_id", "quality"))
 many("join_right", "labels", "documents", sql="SELECT d.doc_id, quality FROM labels l RIGHT JOIN documents d ON d.doc_id = l.doc_id")(lambda a, b: R.join(a, b.select("doc_id"), [("doc_id", "doc_id")], "right").select("doc_id", "quality"))
 many("join_cross", "region", "nation", sql="SELECT r_name, n_name FROM region CROSS JOIN nation")(lambda a, b: R.join(a, b, how="cross").select("r_name", "n_name"))
-text("join_no_on", "region", "nation", spark_sql="SELECT r_regionkey, n_nationkey FROM {region} CROSS JOIN {nation}")
+text("join_no_on", "region", "nation", spark_sql="SELECT r_regionkey, n_nationkey FROM {region} JOIN {nation}", sql="SELECT r_regionkey, n_nationkey FROM region CROSS JOIN nation")
+many("join_no_keys_left", "region", "nation", sql="SELECT r_regionkey, n_nationkey FROM region LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 0) ON TRUE")(lambda a, b: R.join(a, b.filter("n_nationkey < 0"), how="left").select("r_regionkey", "n_nationkey"))
 many("join_multi_key", "lineitem", "orders", sql="SELECT o_orderkey, COUNT(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_linenumber = o_custkey % 7 + 1 GROUP BY 1")(
     lambda a, b: R.aggregate(R.join(a.select("l_orderkey", c("l_linenumber").cast("bigint").alias("l")), b.select("o_orderkey", (c("o_custkey") % 7 + 1).alias("o")), [("l_orderkey", "o_orderkey"), ("l", "o")]), ["o_orderkey"], [F.count(F.lit(1)).alias("n")])
 )
@@ -160,8 +171,66 @@ over("repartition_hash", "orders", "SELECT o_orderkey, o_custkey FROM orders")(l
 over("repartition_round_robin", "orders", "SELECT o_orderkey, o_custkey FROM orders")(lambda d: R.round_robin(d.select("o_orderkey", "o_custkey"), 8))
 over("per_shard_union", "orders", "SELECT o_orderkey % 2 AS shard, COUNT(*) AS n FROM orders GROUP BY 1")(lambda d: R.per_shard([d.filter(c("o_orderkey") % 2 == i) for i in (0, 1)], lambda s: s.groupBy((c("o_orderkey") % 2).alias("shard")).agg(F.count(F.lit(1)).alias("n"))))
 
+over("per_shard_column", "orders", "SELECT CAST(o_orderkey % 3 AS INT) AS shard, COUNT(*) AS n FROM orders GROUP BY 1")(lambda d: R.per_shard([d.filter(c("o_orderkey") % 3 == i) for i in range(3)], lambda s: s.agg(F.count(F.lit(1)).alias("n")), shard="shard"))
+
+# sources and results
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the warehouse, which driver and executors share."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/marlpit-{uuid.uuid4().hex}"
+
+
+def whole(name: str, sql: str):
+    """Registers a query of (spark, sf)."""
+
+    def put(build: Query):
+        QUERIES[name], SQL[name] = build, sql
+        return build
+
+    return put
+
+
+def through_csv(spark: SparkSession, df: DataFrame, delimiter: str) -> DataFrame:
+    path = scratch(spark)
+    Result(df).write_csv(path, delimiter=delimiter)
+    return Engine(spark).csv(path)
+
+
+def through_file(spark: SparkSession, df: DataFrame) -> DataFrame:
+    with tempfile.TemporaryDirectory() as folder:
+        Result(df).to_csv(f"{folder}/out.csv")
+        return spark.createDataFrame(pa.csv.read_csv(f"{folder}/out.csv"))
+
+
+def registered(spark: SparkSession, sf: str) -> DataFrame:
+    engine = Engine(spark)
+    engine.register_parquet("nations_of_query", f"{sf}/nation.parquet")
+    return engine.sql("SELECT n_regionkey, COUNT(*) AS n FROM nations_of_query GROUP BY n_regionkey;")
+
+
+def custom(spark: SparkSession, sf: str) -> DataFrame:
+    spark.dataSource.register(RangeSource)
+    return Engine(spark).register_source("numbers_of_query", RangeSource.name(), rows="10", parts="3")
+
+
+NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+whole("csv_scan", NATION)(lambda spark, sf: through_csv(spark, tab(spark, sf, "nation"), ","))
+whole("csv_sniffed", NATION)(lambda spark, sf: through_csv(spark, tab(spark, sf, "nation"), "|"))
+whole("adhoc_scan", NATION)(lambda spark, sf: Engine(spark).parquet(f"{sf}/nation.parquet"))
+whole("registered_sql", "SELECT n_regionkey, COUNT(*) AS n FROM nation GROUP BY 1")(registered)
+whole("memory_table", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'x', CAST(0.5 AS DOUBLE)), (2, NULL, 1.5), (NULL, 'z', NULL)) t(a, b, c)")(lambda spark, sf: from_columns(spark, {"a": [1, 2, None], "b": ["x", None, "z"], "c": [0.5, 1.5, None]}))
+whole("custom_source", "SELECT range AS n, range * range AS square FROM range(10)")(custom)
+over("result_arrow", "supplier", "SELECT * FROM supplier")(lambda d: d.sparkSession.createDataFrame(Result(d).to_arrow()))
+over("result_pandas", "part", "SELECT p_partkey, p_name FROM part")(lambda d: d.sparkSession.createDataFrame(Result(d.select("p_partkey", "p_name")).to_pandas()))
+over("result_csv", "region", "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")(lambda d: through_file(d.sparkSession, d))
+over("result_markdown", "region", "SELECT '| r_regionkey | r_name |' AS line UNION ALL SELECT '| --- | --- |' UNION ALL SELECT '| ' || r_regionkey || ' | ' || r_name || ' |' FROM region")(lambda d: d.sparkSession.createDataFrame([(x,) for x in Result(d).to_markdown().splitlines()], "line string"))
+over("result_rows", "orders", "SELECT COUNT(*) AS n, COUNT(*) AS in_batches FROM orders")(lambda d: d.sparkSession.createDataFrame([(Result(d).row_count, sum(b.num_rows for b in Result(d.select("o_orderkey")).batches()))], "n long, in_batches long"))
+over("explain", "orders", "SELECT TRUE AS filtered, TRUE AS pushed")(lambda d: explain_rows(d.filter("o_totalprice > 1000").select("o_orderkey"), "formatted").select(c("plan").contains("Filter").alias("filtered"), c("plan").contains("GreaterThan(o_totalprice,1000.0)").alias("pushed")))
+
 # the published benchmark's shapes
-over("bench_scan", "orders", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000")(lambda d: R.top_k(d, 1000, ("o_orderkey", True)))
+over("bench_scan", "orders", "SELECT * FROM orders LIMIT 1000")(lambda d: R.limit(d, 1000))
+over("bench_scan_ordered", "orders", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000")(lambda d: R.top_k(d, 1000, ("o_orderkey", True)))
 over("bench_filter", "orders", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 2000")(lambda d: R.select(d, c("o_totalprice") > 2000).select("o_orderkey", "o_totalprice"))
 over("bench_aggregate", "orders", "SELECT o_custkey, ROUND(SUM(o_totalprice), 2) AS s, COUNT(*) AS n FROM orders GROUP BY 1")(lambda d: R.aggregate(d, ["o_custkey"], [F.round(F.sum("o_totalprice"), 2).alias("s"), F.count(F.lit(1)).alias("n")]))
 over("bench_multi_agg", L, "SELECT l_orderkey, ROUND(SUM(l_quantity), 2) AS q, ROUND(SUM(l_extendedprice), 2) AS p, COUNT(*) AS n FROM lineitem GROUP BY 1")(lambda d: R.aggregate(d, ["l_orderkey"], [F.round(F.sum("l_quantity"), 2).alias("q"), F.round(F.sum("l_extendedprice"), 2).alias("p"), F.count(F.lit(1)).alias("n")]))

@@ -24,6 +24,9 @@ class Result:
         """Rows one partition at a time."""
         return self.df.toLocalIterator()
 
+    def batches(self) -> list[pa.RecordBatch]:
+        return self.to_arrow().to_batches()
+
     def to_arrow(self) -> pa.Table:
         return self.df.toArrow()
 
@@ -37,32 +40,25 @@ class Result:
             writer.writerow(self.df.columns)
             writer.writerows(self.rows())
 
-    def write_csv(self, path: str, mode: str = "errorifexists") -> None:
+    def write_csv(self, path: str, mode: str = "errorifexists", delimiter: str = ",") -> None:
         """A folder of part files."""
-        self.df.write.mode(mode).option("header", True).csv(path)
+        self.df.write.mode(mode).option("header", True).option("sep", delimiter).csv(path)
 
-    def to_markdown(self, max_rows: int = 1000) -> str:
-        cells = [[_text(v) for v in row] for row in self.df.limit(max_rows).collect()]
-        if not cells:
-            return "(empty)"
-        names = self.df.columns
-        width = [max(len(r[i]) for r in [names, *cells]) for i in range(len(names))]
-        line = lambda r: "| " + " | ".join(v.ljust(w) for v, w in zip(r, width, strict=True)) + " |"
-        return "\n".join([line(names), "|" + "|".join("-" * (w + 2) for w in width) + "|", *map(line, cells)])
+    def to_markdown(self, max_rows: int | None = None) -> str:
+        """A table in Markdown, of all rows or with a last line that says where it was cut."""
+        got = (self.df if max_rows is None else self.df.limit(max_rows + 1)).collect()
+        shown = got if max_rows is None else got[:max_rows]
+        line = lambda cells: f"| {' | '.join(cells)} |"
+        out = [line(map(_cell, self.df.columns)), line("---" for _ in self.df.columns), *(line(map(_cell, r)) for r in shown)]
+        return "\n".join([*out, *([f"\nonly the first {max_rows} rows"] if len(got) > len(shown) else [])])
 
     def show(self, max_rows: int = 20) -> None:
-        total = self.row_count
-        if not total:
-            print("(empty result)")
-            return
-        self.df.show(max_rows, truncate=False)
-        if total > max_rows:
-            print(f"... ({total - max_rows} more rows)")
-        print(f"({total} rows)")
+        """Prints the first rows; the query runs once, and no further than to see whether there are more."""
+        print(self.to_markdown(max_rows))
 
     def __repr__(self) -> str:
         return f"Result({', '.join(self.df.columns)})"
 
 
-def _text(value: object) -> str:
-    return "NULL" if value is None else str(value)
+def _cell(value: object) -> str:
+    return "NULL" if value is None else str(value).replace("|", "\\|").replace("\n", " ")

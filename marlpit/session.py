@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -80,7 +81,13 @@ class Engine:
         return self.table(name).schema
 
     def sql(self, text: str) -> DataFrame:
-        return self.spark.sql(text.strip().rstrip(";"))
+        try:
+            return self.spark.sql(text.strip().rstrip(";"))
+        except AnalysisException as e:
+            if e.getCondition() == "TABLE_OR_VIEW_NOT_FOUND":
+                name = e.getMessageParameters()["relationName"].replace("`", "")
+                raise ValueError(f"Unknown table: {name}") from e
+            raise
 
     def run(self, query: str | DataFrame) -> Result:
         return Result(self.sql(query) if isinstance(query, str) else query)

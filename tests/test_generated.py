@@ -7,7 +7,7 @@ from marlpit.sources.catalog import from_columns
 
 DATA = {
     "id": list(range(12)),
-    "name": ["alice", "bob", None, "carol", "bob", "dave", None, "alice", "", "eve", "bob", "carol"],
+    "name": ["fern", "moss", None, "reed", "moss", "sedge", None, "fern", "", "ivy", "moss", "reed"],
     "value": [10, None, 30, -5, 0, 7, 7, None, 1000, -1000, 3, 2],
 }
 
@@ -20,7 +20,7 @@ def predicate(rng, depth=0):
         return f"(NOT {predicate(rng, depth + 1)})"
     op = rng.choice(["=", "<>", "<", "<=", ">", ">="])
     if rng.random() < 0.4:
-        return f"name {op} '{rng.choice(['alice', 'bob', 'carol', 'zed', ''])}'"
+        return f"name {op} '{rng.choice(['fern', 'moss', 'reed', 'zed', ''])}'"
     left = rng.choice(["value", "id", "value + id", "value * 2 - id", "-value"])
     return f"{left} {op} {rng.randint(-20, 40)}"
 
