@@ -16,16 +16,18 @@ from marlpit.llm.shared import stored
 NO_PAGE = (1 << 63) - 1
 
 
-def warc_records(pages: DataFrame, unnamed: bool = False) -> DataFrame:
+def warc_records(pages: DataFrame, unnamed: bool = False, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """page_id, record: each page as a WARC response record; a missing url or html counts as empty.
 
+    ``date`` is the WARC-Date of all records, as pages have none of their own.
+
     Rows without a page_id are left out unless ``unnamed`` is set: then they
     are records without an id, which stand last as NO_PAGE. Repeated ids are
     records of their own, ordered by content.
     """
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")),
+        F.lit(f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")),
         F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
         F.lit(">\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
     )
@@ -35,13 +37,15 @@ def warc_records(pages: DataFrame, unnamed: bool = False) -> DataFrame:
 def leaves(records: DataFrame, span: int = 32) -> DataFrame:
     """leaf, n, bytes, records, digest: ``span`` consecutive ids make a leaf.
 
-    ``records`` lists page_id, length and digest of each; the leaf's digest is
-    over those lines in order, so it covers every byte, the order and the offsets.
+    ``records`` lists page_id, length, digest and how often it is there of each
+    different record; the leaf's digest is over those lines in order, so it
+    covers every byte, the order and the offsets.
     """
-    one = F.struct(F.col("page_id"), F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
-    leaf = records.select(F.floor(F.col("page_id") / span).alias("leaf"), one.alias("r")).groupBy("leaf").agg(F.sort_array(F.collect_list("r")).alias("records"))
-    line = F.transform("records", lambda r: F.concat_ws(":", r.page_id.cast("string"), r.length.cast("string"), r.digest))
-    return leaf.select("leaf", F.size("records").cast("long").alias("n"), F.aggregate("records", F.lit(0).cast("long"), lambda s, r: s + r.length).alias("bytes"), "records", F.sha2(F.array_join(line, "\n"), 256).alias("digest"))
+    each = records.select(F.floor(F.col("page_id") / span).alias("leaf"), "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
+    each = each.groupBy("leaf", "page_id", "length", "digest").agg(F.count(F.lit(1)).alias("n"))
+    leaf = each.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("page_id", "length", "digest", "n"))).alias("records"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("length")).alias("bytes"))
+    line = F.transform("records", lambda r: F.concat_ws(":", r.page_id.cast("string"), r.length.cast("string"), r.digest, r.n.cast("string")))
+    return leaf.select("leaf", "n", "bytes", "records", F.sha2(F.array_join(line, "\n"), 256).alias("digest"))
 
 
 def tree(leaf: DataFrame, fanout: int, depth: int) -> list[DataFrame]:
@@ -84,9 +88,9 @@ def audit(left: DataFrame, right: DataFrame, span: int = 32, fanout: int = 64) -
         x, y = x.select("node", F.col("digest").alias("dx")), y.select("node", F.col("digest").alias("dy"))
         differing = stored(x.join(y, "node", "full").filter(~F.col("dx").eqNullSafe(F.col("dy"))).select(F.col("node").alias("_up")), "differing")
     bad = differing.select(F.col("_up").alias("leaf"))
-    lines = lambda t: t.select("leaf", F.posexplode("records").alias("i", "r")).select("leaf", "r.page_id", "r.length", "r.digest")
-    count = lambda t, s: lines(t).groupBy("leaf", "page_id", "digest").agg(F.count(F.lit(1)).alias(f"n{s}"), F.max("length").alias(f"len{s}"))
-    same = lines(a.join(bad, "leaf", "left_anti")).groupBy("leaf", "page_id").agg(F.count(F.lit(1)).alias("n_left"), F.sum("length").alias("bytes_left"))
+    lines = lambda t: t.select("leaf", F.posexplode("records").alias("i", "r")).select("leaf", "r.page_id", "r.length", "r.digest", "r.n")
+    count = lambda t, s: lines(t).groupBy("leaf", "page_id", "digest").agg(F.sum("n").alias(f"n{s}"), F.max("length").alias(f"len{s}"))
+    same = lines(a.join(bad, "leaf", "left_anti")).groupBy("leaf", "page_id").agg(F.sum("n").alias("n_left"), F.sum(F.col("n") * F.col("length")).alias("bytes_left"))
     same = same.select("*", F.col("n_left").alias("n_right"), F.col("bytes_left").alias("bytes_right"), F.lit("ok").alias("status"))
     met = count(a.join(bad, "leaf", "left_semi"), "a").join(count(b.join(bad, "leaf", "left_semi"), "b"), ["leaf", "page_id", "digest"], "full")
     na, nb = (F.coalesce(c, F.lit(0).cast("long")) for c in ("na", "nb"))

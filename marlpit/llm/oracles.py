@@ -71,7 +71,7 @@ SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN hits ON hits.doc_id = doc.doc_id LEFT JOIN items ON items.doc_id = doc.doc_id"""
 
-_RECORD = """encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+_RECORD = """encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
   || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: '
   || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10))"""
 
@@ -83,5 +83,6 @@ pair AS (SELECT a.page_id, a.r AS x, b.r AS y FROM a LEFT JOIN b USING (page_id)
 depth AS (SELECT greatest(1, 1 + CAST(floor(ln(greatest(MAX(page_id) // 32, 1)) / ln(64) + 1e-9) AS INT)) AS d FROM pages)
 SELECT page_id // 32 AS leaf, page_id, CAST(1 AS BIGINT) AS n_left, CAST(octet_length(x) AS BIGINT) AS bytes_left, CAST(CASE WHEN y IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_right,
   CAST(coalesce(octet_length(y), 0) AS BIGINT) AS bytes_right, CASE WHEN y IS NULL THEN 'missing' WHEN x = y THEN 'ok' ELSE 'altered' END AS status,
-  CASE WHEN y IS NULL OR x <> y THEN (SELECT string_agg(CAST((page_id // 32) // CAST(pow(64, k) AS BIGINT) AS VARCHAR), '/' ORDER BY k DESC) FROM (SELECT unnest(range(0, d + 1)) AS k)) END AS path
+  CASE WHEN y IS NULL OR x <> y THEN (SELECT string_agg(CAST((page_id // 32) // CAST(pow(64, k) AS BIGINT) AS VARCHAR), '/' ORDER BY k DESC) FROM (SELECT unnest(range(0, d + 1)) AS k)) END AS path,
+  CASE WHEN y IS NULL OR x <> y THEN CAST(coalesce(SUM(octet_length(x)) OVER (PARTITION BY page_id // 32 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) END AS first_difference
 FROM pair, depth"""

@@ -49,7 +49,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return fixity.audit(fixity.warc_records(pages, unnamed=True), fixity.warc_records(fixity.damaged(pages), unnamed=True)).drop("first_difference")
+    return fixity.audit(fixity.warc_records(pages, unnamed=True), fixity.warc_records(fixity.damaged(pages), unnamed=True))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType
 NO_ID = (1 << 63) - 1
 #: Spark's setting by which a query's shuffle files go once it has ended.
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting of the bytes in a batch that goes to Python.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Folders that ``stored`` has written and that are still there.
 _written: list[str] = []
 
@@ -102,11 +104,16 @@ def map_batches(df: DataFrame, function, schema: str | StructType) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(kind)
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_BYTES) == f"{64 << 20}b":  # the default; texts then take up to that much several times over
+        spark.conf.set(BATCH_BYTES, "16m")
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 for columns in function(batch):
                     yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type, from_pandas=False) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in arrow], schema=arrow)
+            del batch
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, kind)
