@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlpit.llm.shared import map_batches, stored
-from marlpit.llm.textkit import Chunks, ragged, slices
+from marlpit.llm.textkit import Chunks, Texts, ragged, slices
 
 MAGIC = b"PLANES01"
 #: Ids in a block, and ids after which a file is closed.
@@ -89,6 +89,21 @@ _MARK[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B,
 CACHE_UNITS = 400_000
 
 
+#: Bytes of one text that are encoded at once.
+PIECE = 1 << 21
+
+
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Where the tokenizer's own splitting parts a text for certain; the first byte counts as well."""
+    cut = np.zeros(len(data), bool)
+    prev, here = data[:-1], data[1:]
+    solid = _SOLID[prev]
+    solid[1:] |= data[:-2] == 0xC3
+    cut[1:] = (((here == 0x20) | (here == 0x0A)) & solid) | (_MARK[here] & _LETTER[prev])
+    cut[:1] = True
+    return cut
+
+
 class Encoder:
     """Encodes whole texts with a byte-level BPE tokenizer, each distinct unit of a slice once.
 
@@ -128,16 +143,29 @@ class Encoder:
         self.at[number : number + len(ids)] = self.used + np.cumsum(sizes) - sizes
         self.used += total
 
-    def encode(self, texts) -> list[np.ndarray]:
-        """The ids of each text of a slice."""
+    def encode(self, texts: Texts) -> list[np.ndarray]:
+        """The ids of each text of a slice; a long text is cut into pieces of about PIECE bytes, so that it takes little more room than its ids."""
+        data = texts.data
+        if texts.n > 1 or len(data) <= PIECE or any(word in texts.text(0) for word in self.special):
+            return self._encode(texts)
+        parts, start = [], 0
+        while start < len(data):
+            size = PIECE
+            while True:
+                places = np.flatnonzero(_cuts(data[start : start + size]))
+                if start + size >= len(data) or len(places) > 1:
+                    break
+                size *= 2
+            end = len(data) if start + size >= len(data) else start + int(places[-1])
+            parts += self._encode(Texts(data[start:end], np.array([0, end - start]), 0))
+            start = end
+        return [np.concatenate(parts)]
+
+    def _encode(self, texts: Texts) -> list[np.ndarray]:
         data, offsets = texts.data, texts.offsets
         if not len(data):
             return [np.zeros(0, np.uint32)] * texts.n
-        cut = np.zeros(len(data), bool)
-        prev, here = data[:-1], data[1:]
-        solid = _SOLID[prev]
-        solid[1:] |= data[:-2] == 0xC3
-        cut[1:] = (((here == 0x20) | (here == 0x0A)) & solid) | (_MARK[here] & _LETTER[prev])
+        cut = _cuts(data)
         cut[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))

@@ -1,11 +1,15 @@
 """Operators against their plain versions, on hard cases and on the smallest tables."""
 
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from marlpit.llm import decontaminate, fingerprints, identifiers, neardup, quality, queries, rules, substrings, tokenfiles, windows
 
@@ -321,6 +325,45 @@ def test_op5(spark, docs, rows):
     assert got(tokenfiles.read_tokens(tokenfiles.write_tokens(brute.frame(spark, data), path)), "doc_id", "start", "n_tokens", "ids_crc32") == want
 
 
+def test_long_text_in_pieces(monkeypatch):
+    """Pieces of a text are encoded as the text is."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(9)
+    texts = [brute.prose(rng, 3000), "x" * 5000, "don't  \n\n stop,  é　" * 200, " " * 700 + "a b" * 900]
+    coder = tokenfiles.Encoder(path)
+    monkeypatch.setattr(tokenfiles, "PIECE", 300)
+    for text in texts:
+        (part,) = tokenfiles.slices(pa.array([text]))
+        assert coder.encode(part)[0].tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+MEMORY = """
+import resource, random, sys
+import pyarrow as pa, public_tokenizers
+from marlpit.llm import decontaminate, neardup, quality, rules, textkit, tokenfiles, windows
+rng = random.Random(1)
+words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+(text,) = textkit.slices(pa.array([" ".join(rng.choice(words) for _ in range(4_000_000))]))
+(test,) = textkit.slices(pa.array([" ".join(words[:50])]))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+{
+    "bytes": lambda: windows.blocks(text, windows.Spec(200, 24, "byte")), "words": lambda: windows.blocks(text, windows.Spec(50, 8, "word")),
+    "rules": lambda: rules.statistics(text), "quality": lambda: quality.word_features(text), "shingles": lambda: neardup.shingle_sets(text, 5),
+    "tests": lambda: decontaminate.matches(text, [decontaminate.Tests([1], test)], locate=True), "tokens": lambda: tokenfiles.Encoder(public_tokenizers.path("byte_bpe_50k.json")).encode(text),
+}[sys.argv[1]]()
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 / len(text.data))
+"""
+
+
+@pytest.mark.parametrize("what", ["bytes", "words", "rules", "quality", "shingles", "tests", "tokens"])
+def test_memory_of_long_text(what):
+    """What an operator's inner step takes for one text of 26 MB, as a multiple of it; at 20 one of 50 MB takes 1 GB."""
+    out = subprocess.run([sys.executable, "-c", MEMORY, what], capture_output=True, text=True, check=True, cwd=os.path.dirname(queries.__file__) + "/../..")
+    assert float(out.stdout) < 20
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_plane_file(bits):
     rng = np.random.default_rng(1)
