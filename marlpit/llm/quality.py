@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlpit.llm.rules import statistics
-from marlpit.llm.shared import map_batches
+from marlpit.llm.shared import map_batches, trim
 from marlpit.llm.textkit import SPACE_WORD, Texts, mix, slices
 
 #: Slots of hashed words, bins of each statistic, size of the factors.
@@ -140,6 +140,7 @@ def keep_good(documents: DataFrame, machine: Machine | None) -> DataFrame:
             if batch.num_rows:
                 p = np.concatenate([probabilities(texts, machine) for texts in slices(batch.column("text"))])
                 yield batch.filter(pa.array(p >= THRESHOLD))
+                trim()
 
     return documents.mapInArrow(run, documents.schema)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -96,6 +97,13 @@ def id_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
 
 
+def trim() -> None:
+    """Gives memory that a worker doesn't use any more back to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_batches(df: DataFrame, function, schema: str | StructType) -> DataFrame:
     """``function`` maps one RecordBatch to any number of dicts of columns."""
     from pyspark.sql.types import _parse_datatype_string
@@ -114,6 +122,6 @@ def map_batches(df: DataFrame, function, schema: str | StructType) -> DataFrame:
                 for columns in function(batch):
                     yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type, from_pandas=False) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in arrow], schema=arrow)
             del batch
-            pa.default_memory_pool().release_unused()
+            trim()
 
     return df.mapInArrow(run, kind)
