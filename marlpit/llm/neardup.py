@@ -134,7 +134,8 @@ def similar_groups(documents: DataFrame, words: int = 5, percent: int = 75) -> D
     ordered = _ordered(reps, percent)
     found = classes.join(_least(_joined(ordered, percent), ordered), "nid", "left").select("sig1", "sig2", F.coalesce("component_id", "k1").alias("component_id"), F.coalesce("label", "nid").alias("group_id"))
     found = live.select("t1", "t2", "sig1", "sig2").join(found, ["sig1", "sig2"]).drop("sig1", "sig2").distinct()
-    settled = equal.join(found, ["t1", "t2"], "left").select("t1", "t2", F.coalesce("component_id", "k1").alias("component_id"), F.coalesce("group_id", "uid").alias("group_id"))
+    # stored, so that the rows of a hot text can be split in the join with the one row they have here
+    settled = stored(equal.join(found, ["t1", "t2"], "left").select("t1", "t2", F.coalesce("component_id", "k1").alias("component_id"), F.coalesce("group_id", "uid").alias("group_id")), "settled")
     some = rows.filter("n > 0").select("doc_id", "n", "t1", "t2").join(settled, ["t1", "t2"])
     some = some.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("t1").alias("text_hash"), "group_id")
     return some.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("k1").alias("component_id"), F.col("t1").alias("text_hash"), F.col("rid").alias("group_id")))
