@@ -35,14 +35,22 @@ LOWER[0x41:0x5B] += 0x20
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     h = (h + U(salt)) if salt else h
-    h = (h ^ (h >> U(30))) * _M1
-    h = (h ^ (h >> U(27))) * _M2
-    return h ^ (h >> U(31))
+    out = h >> U(30)
+    out ^= h
+    out *= _M1
+    out ^= out >> U(27)
+    out *= _M2
+    out ^= out >> U(31)
+    return out
 
 
 def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of each pair, in order."""
-    return mix(a * _M3 + (b ^ (b >> U(31))) * _M4)
+    out = b >> U(31)
+    out ^= b
+    out *= _M4
+    out += a * _M3
+    return mix(out)
 
 
 def bounded(n: np.ndarray) -> np.ndarray:

@@ -37,8 +37,8 @@ from pyspark.sql.window import Window
 from marlpit.llm.shared import drop, map_batches, stored
 from marlpit.llm.textkit import SPACE_WORD, U, Chunks, Levels, Texts, both, byte_windows, mix, ragged, sliding_argmin, slices
 
-#: Offsets that the second pass takes at a time, and windows of one text that are hashed at once.
-STEP, PIECE = 16, 1 << 19
+#: Offsets that the second pass takes at a time, and windows that are hashed at once, so few that their arrays stay in the processor's cache.
+STEP, PIECE = 16, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -242,7 +242,7 @@ def digits(bodies: DataFrame, spec: Spec, step: int) -> DataFrame:
         flat = lists.flatten()
         o1, o2 = (np.asarray(flat.field(i)).astype(np.int64) for i in (0, 1))
         get = {x: np.asarray(batch.column(x)) for x in ("ah", "bk", "k1", "off")}
-        for texts in slices(batch.column("body")):
+        for texts in slices(batch.column("body"), PIECE):
             units, bound = Units(texts, spec), ends[texts.first : texts.first + texts.n + 1]
             if not units.n:
                 continue

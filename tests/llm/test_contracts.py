@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
-from marlpit.llm import decontaminate, fingerprints, identifiers, neardup, quality, queries, rules, substrings, tokenfiles, windows
+from marlpit.llm import decontaminate, fingerprints, identifiers, neardup, quality, queries, rules, substrings, textkit, tokenfiles, windows
 
 from tests.conftest import SF
 from tests.llm import brute
@@ -101,6 +101,17 @@ def test_index_reopened(spark, tmp_path):
     assert {k for k, _ in met} >= {i for i in range(3, 40, 3)} and all(a % 3 == 0 for a, _ in met if a != 37)
 
 
+def test_pieces_fit_the_cache(monkeypatch):
+    """However long a text is, its windows are hashed in pieces of at most 100,000, and the windows are all there once."""
+    sizes, piece = [], windows.Units.piece
+    monkeypatch.setattr(windows.Units, "piece", lambda self, lo, hi: (sizes.append(hi - lo), piece(self, lo, hi))[1])
+    data = brute.prose(random.Random(6), 60_000).encode()
+    (text,) = textkit.slices(pa.array([data], pa.binary()))
+    found = windows.blocks(text, windows.Spec(200, 24, "byte"))
+    assert len(data) > 300_000 > 100_000 >= max(sizes)
+    assert (found["n"] * found["m"]).sum() == len(data) - 199
+
+
 def morse(n, a, b):
     return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
 
