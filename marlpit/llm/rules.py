@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlpit.llm.shared import map_batches
+from marlpit.llm.shared import drop, map_batches, stored
 from marlpit.llm.textkit import SPACE_WORD, Chunks, Levels, Texts, cover, mix, slices
 
 #: The characters counted as symbols, and the length of a window of repeated words.
@@ -92,11 +92,12 @@ class Forest:
 
     A node is cut anywhere in its cell, not only between its own rows, and the
     first cell reaches beyond all rows: what lies outside of them soon falls
-    into cells without rows, whose paths are short. A column without a range in
-    ``x`` has that of ``wide``, the rows known besides.
+    into cells without rows, whose paths are short. ``bounds``: rows with the
+    range of all those that ``x`` was drawn from. A column without a range there
+    has that of ``wide``, the rows known besides.
     """
 
-    def __init__(self, x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 5, wide: np.ndarray | None = None):
+    def __init__(self, x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 5, wide: np.ndarray | None = None, bounds: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
         self.sample = min(sample, len(x))
         self.depth = max(1, math.ceil(math.log2(max(2, self.sample))))
@@ -104,7 +105,8 @@ class Forest:
         self.feature = np.full((trees, nodes), -1, np.int16)
         self.split = np.zeros((trees, nodes), np.float32)
         self.path = np.zeros((trees, nodes), np.float32)
-        lo, hi, every = x.min(0), x.max(0), x if wide is None else wide
+        whole = x if bounds is None else bounds
+        lo, hi, every = whole.min(0), whole.max(0), whole if wide is None else wide
         reach = MARGIN * np.where(hi > lo, hi - lo, every.max(0) - every.min(0))
         for t in range(trees):
             self._grow(t, 0, 0, x[rng.choice(len(x), self.sample, replace=False)], lo - reach, hi + reach, rng)
@@ -141,61 +143,99 @@ def expected(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
+#: Scores are told apart in so many steps when a threshold is sought, which bounds what the driver takes of any number of rows.
+LEVELS = 1 << 16
+
+
+def level(scores: np.ndarray) -> np.ndarray:
+    """The middle of each score's step."""
+    return (np.floor(scores * LEVELS) + 0.5) / LEVELS
+
+
 def calibrated(scores: np.ndarray, good: np.ndarray, keep: float) -> float:
-    """The score up to which rows are kept, from labelled rows of both classes.
+    """The score up to which rows are kept, from labelled rows of both classes; see ``threshold``."""
+    values, at = np.unique(scores, return_inverse=True)
+    return threshold(values, np.bincount(at[good], minlength=len(values)), np.bincount(at[~good], minlength=len(values)), keep)
+
+
+def threshold(values: np.ndarray, good: np.ndarray, bad: np.ndarray, keep: float) -> float:
+    """The score up to which rows are kept, from ascending scores and how many good and bad rows have each.
 
     Among the lines that at least ``keep`` of the good rows stay below, the one
     of the largest share of bad rows above less the share of good ones above;
     the highest of equal ones, halfway between the scores it separates. Without
     bad rows it is the good rows' quantile, without good ones nothing is above.
     """
-    if good.all() or not good.any():
-        return float(np.quantile(scores, keep if good.any() else 1.0)) + 1e-9 if len(scores) else 2.0
-    values, at = np.unique(scores, return_inverse=True)
-    lost = good.sum() - np.cumsum(np.bincount(at[good], minlength=len(values)))
-    caught = (~good).sum() - np.cumsum(np.bincount(at[~good], minlength=len(values)))
-    gain = np.where(lost <= (1 - keep) * good.sum() + 1e-9, caught / (~good).sum() - lost / good.sum(), -1.0)
+    if not len(values):
+        return 2.0
+    if not good.sum():
+        return float(values[-1]) + 1e-9
+    lost = good.sum() - np.cumsum(good)
+    few = lost <= (1 - keep) * good.sum() + 1e-9
+    if not bad.sum():
+        return float(values[np.argmax(few)]) + 1e-9
+    caught = bad.sum() - np.cumsum(bad)
+    gain = np.where(few, caught / bad.sum() - lost / good.sum(), -1.0)
     best = len(values) - 1 - int(np.argmax(gain[::-1]))
     return float(values[best] + values[best + 1]) / 2 if best + 1 < len(values) else float(values[best]) + 1e-9
 
 
-def quality_rules(documents: DataFrame, labels: DataFrame, sample: int = 6000, trees: int = 60, keep: float = 0.998) -> DataFrame:
+def quality_rules(documents: DataFrame, labels: DataFrame, trees: int = 60, subsample: int = 256, keep: float = 0.998) -> DataFrame:
     """Per document: doc_id, the base counts, base_failed, anomaly (forest's score), kept.
 
-    The forest is grown from at most ``sample`` labelled documents, those whose
-    ids hash least, that pass the base rules; its threshold is the one that best
-    separates those of quality 1 from the others while ``keep`` of the former
-    stay. Every document is then counted and scored whole. Null and empty texts have no words and so fail the base
-    rules; repeated rows come once each; without labelled rows only the base
-    rules decide; an empty table gives no rows.
+    All labelled documents that pass the base rules count: the forest reaches
+    over the range of those of quality 1, and its threshold is the one that best
+    separates all of these from all others while ``keep`` of the former stay.
+    Each tree is grown from ``subsample`` rows drawn from all, as is the method.
+    Every document is counted once, whole, and scored. Null and empty texts have
+    no words and so fail the base rules; repeated rows come once each; without
+    labelled rows only the base rules decide; an empty table gives no rows.
     """
-    few = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = documents.select("doc_id", "text").join(F.broadcast(few), "doc_id")
 
     def measure(batch):
-        for texts in slices(batch.column("text")):
-            counts, x = statistics(texts)
-            yield {"doc_id": batch.column("doc_id").slice(texts.first, texts.n), "good": np.asarray(batch.column("quality"))[texts.first : texts.first + texts.n] == 1, "failed": failed(counts), "x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))}
-
-    # one row an id, however often it occurs, so that ``sample`` bounds what the driver takes
-    passed = map_batches(chosen, measure, "doc_id long, good boolean, failed boolean, x array<float>").filter("not failed")
-    rows = passed.groupBy("doc_id").agg(F.min(F.struct("x", "good")).alias("r")).select("r.*").collect()
-    rows.sort(key=lambda r: r.x)
-    forest, line = None, 2.0
-    if rows:
-        x, good = np.array([r.x for r in rows], np.float32), np.array([r.good for r in rows])
-        forest = Forest(x[good] if good.sum() >= 2 else x, trees, wide=x)
-        line = calibrated(forest.scores(x), good, keep)
-
-    def judge(batch):
         ids = batch.column("doc_id")
         for texts in slices(batch.column("text")):
             counts, x = statistics(texts)
-            bad = failed(counts)
-            score = forest.scores(x) if forest else np.zeros(texts.n)
-            yield counts | {"doc_id": ids.slice(texts.first, texts.n), "base_failed": bad, "anomaly": score, "kept": ~bad & (score <= line)}
+            yield counts | {"doc_id": ids.slice(texts.first, texts.n), "base_failed": failed(counts), "x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))}
+
+    base = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean"
+    rows = stored(map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), measure, f"{base}, x array<float>"), "rules")
+    marks = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 1).alias("good"))
+    # one row an id, however often it occurs
+    known = stored(rows.filter("not base_failed").join(marks, "doc_id").groupBy("doc_id").agg(F.min(F.struct("x", "good")).alias("r")).select("doc_id", "r.*"), "known")
+    forest, line = _grown(known, trees, subsample), 2.0
+    if forest:
+        steps = map_batches(known, lambda batch: [{"score": level(forest.scores(_matrix(batch))), "good": batch.column("good")}], "score double, good boolean")
+        found = steps.groupBy("score").agg(F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad")).toPandas().sort_values("score")
+        line = threshold(found.score.to_numpy(), found.good.to_numpy(), found.bad.to_numpy(), keep)
+    drop(known)
 
-    return map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), judge, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, anomaly double, kept boolean")
+    def judge(batch):
+        bad = np.asarray(batch.column("base_failed").to_numpy(zero_copy_only=False))
+        score = forest.scores(_matrix(batch)) if forest else np.zeros(batch.num_rows)
+        yield {c: batch.column(c) for c in ("doc_id", *COUNTS, "base_failed")} | {"anomaly": score, "kept": ~bad & (level(score) <= line)}
+
+    return map_batches(rows, judge, f"{base}, anomaly double, kept boolean")
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(batch.column("x").flatten(), np.float32).reshape(-1, len(FEATURES))
+
+
+def _grown(known: DataFrame, trees: int, subsample: int) -> Forest | None:
+    """A forest of the good rows, or of all if fewer than two are good; each tree's rows are drawn from all of them."""
+    x = [F.col("x")[j] for j in range(len(FEATURES))]
+    reach = lambda df: df.agg(F.count(F.lit(1)), *[f(c) for f in (F.min, F.max) for c in x]).first()
+    every, own = reach(known), reach(known.filter("good"))
+    if not every[0]:
+        return None
+    some, span = (known.filter("good"), own) if own[0] >= 2 else (known, every)
+    # the rows whose ids hash least; half as many again are asked for, so that tasks send no more than these
+    size = trees * subsample
+    few = some.select("x", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)).alias("h")).filter(F.col("h") < int(1.5 * size / span[0] * (1 << 32)) + 1)
+    drawn = sorted(few.collect(), key=lambda r: (r.h, r.doc_id))[:size]
+    ranges = [np.array(r[1:], np.float32).reshape(2, -1) for r in (every, span)]
+    return Forest(np.array(sorted(r.x for r in drawn), np.float32), trees, subsample, wide=ranges[0], bounds=ranges[1])
 
 
 def failed(counts: dict[str, np.ndarray]) -> np.ndarray:

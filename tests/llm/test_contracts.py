@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from marlpit.llm import decontaminate, fingerprints, identifiers, neardup, quality, queries, rules, substrings, textkit, tokenfiles, windows
+from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tests.llm import brute
@@ -205,6 +206,16 @@ def test_op10_threshold():
     assert rules.calibrated(scores[4:], good[4:], 0.5) > 0.7
 
 
+def test_op10_learns_from_all_rows(spark):
+    """However many rows are labelled, the one whose id hashes highest still widens the forest and moves the threshold."""
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    plain, last = [words(24) for _ in range(40)], max(spark.range(7000).select(F.xxhash64("id"), "id").collect())[1]
+    docs = brute.frame(spark, [(i, words(24).upper() if i == last else f"{plain[i % 40]} {i}") for i in range(7000)])
+    labels = spark.createDataFrame([(i, 1) for i in range(7000)], "doc_id long, quality int")
+    assert rules.quality_rules(docs, labels, keep=1.0).filter("not kept").count() == 0
+
+
 def test_no_rows(spark):
     none = brute.frame(spark, [])
     assert substrings.remove_repeats(none).count() == 0
