@@ -164,10 +164,13 @@ def live_blocks(table: DataFrame) -> DataFrame:
     Blocks of an anchor meet in one task, sorted. Those of hot anchors, whose
     number is bounded by ``HOT_SHARE``, are instead counted by class, partially
     before the shuffle, and joined with the counts; Spark splits such joins.
+    The most frequent anchor is always one of them, so that tables of any size
+    go the same way: Spark leaves out joins with an empty list.
     """
     count = table.groupBy("ah").agg(F.count(F.lit(1)).alias("blocks"))
     limit = max(HOT_LEAST, int(table.count() * HOT_SHARE))
-    listed = stored(count.filter(F.col("blocks") > limit).select("ah"), "hot")
+    top = count.agg(F.max_by("ah", "blocks").alias("ah"))
+    listed = stored(count.filter(F.col("blocks") > limit).select("ah").unionByName(top).distinct(), "hot")
     hot = F.broadcast(listed)
     one, anchor = Window.partitionBy("ah", "bk"), Window.partitionBy("ah")
     cool = table.join(hot, "ah", "left_anti").repartition("ah")

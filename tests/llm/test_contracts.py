@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from marlpit.llm import decontaminate, fingerprints, identifiers, neardup, quality, queries, rules, substrings, textkit, tokenfiles, windows
+from marlpit.llm.shared import keyed as windows_keyed
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
@@ -113,6 +114,16 @@ def test_pieces_fit_the_cache(monkeypatch):
     assert (found["n"] * found["m"]).sum() == len(data) - 199
 
 
+def test_live_blocks_go_one_way(spark, monkeypatch):
+    """Without an anchor beyond the bound the list of hot ones isn't empty, so no join is left out, and nothing else changes."""
+    lists, store = [], windows.stored
+    monkeypatch.setattr(windows, "stored", lambda df, name: (lambda out: (lists.append(out.count()) if name == "hot" else None, out)[1])(store(df, name)))
+    keep = brute.prose(random.Random(7), 80)
+    docs = windows_keyed(brute.frame(spark, [(i, f"{keep} {brute.prose(random.Random(i), 60)}") for i in range(20)]))
+    live = windows.live_blocks(windows.block_table(docs, windows.Spec(50, 8, "word"))).filter("c > 1 or k > 1")
+    assert lists == [1] and live.count() > 0 and live.filter("k1 < least").count() == 0
+
+
 def morse(n, a, b):
     return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
 
