@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from marlpit.llm import decontaminate, mixing, neardup, quality, tokenfiles
 from marlpit.llm.queries import tokenizer_path
-from marlpit.llm.shared import NO_ID, discard, id_key, scratch, shared_dir, table, written
+from marlpit.llm.shared import NO_ID, discard, id_key, scratch, shared_dir, table, trim, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -102,5 +102,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         with scratch(spark):
             docs = written(stage(spark, docs, sf_dir), path)
         discard(spark, *last)
+        trim()
         last = [path]
     return docs

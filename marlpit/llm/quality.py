@@ -120,7 +120,11 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 6000) -> Machin
             a, b = ends[i], ends[i + 1]
             rows.append((key, slot[a:b].astype(np.int64), value[a:b].astype(float), np.array(x[i], np.float32), y))
     rows.sort(key=lambda r: (r[0], len(r[1]), r[3].tobytes()))
-    return fit([r[1:] for r in rows]) if rows else None
+    try:
+        return fit([r[1:] for r in rows]) if rows else None
+    finally:  # the driver's memory isn't needed any more either
+        del table, rows
+        trim()
 
 
 def probabilities(texts: Texts, machine: Machine | None) -> np.ndarray:

@@ -420,6 +420,13 @@ def test_op2(spark, docs, rows):
     assert quality.score(docs, labels.limit(0)).first().score == 0.5
 
 
+def test_training_gives_memory_back(spark, monkeypatch):
+    """Once a machine is trained the driver gives back what its rows took."""
+    calls, labels = [], spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "trim", lambda: calls.append(1))
+    assert quality.train(brute.frame(spark, [(i, f"some words {i}") for i in range(9)]), labels) and calls == [1]
+
+
 def test_op2_pairs():
     """The linear-time score against the sum over all pairs of features."""
     rng = np.random.default_rng(2)
