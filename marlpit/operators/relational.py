@@ -94,9 +94,24 @@ def sort_keys(df: DataFrame, key: Column | str, ascending: bool = True) -> list[
 
 
 def limit(df: DataFrame, n: int) -> DataFrame:
+    """Any ``n`` rows, or the first ones of ``order``; ``first_rows`` is for those of a table as it is stored."""
     return df.limit(n)
 
 
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of a Parquet scan as they are stored: files by path, rows by their place in the file.
+
+    Spark's own limit takes the rows of whichever tasks come first, and it deals
+    files to tasks by size. ``df`` has to be the scan itself, which alone knows these places.
+    """
+    stored = df.metadataColumn("_metadata")
+    path, place = stored.getField("file_path"), stored.getField("row_index")
+    # the plus sign isn't escaped in paths, but stands for a blank to url_decode
+    path = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    # n rows of the same file come before any later one, so those need no comparing
+    return df.filter(place < n).orderBy(path, place).limit(n)
+
+
 def top_k(df: DataFrame, k: int, *keys: tuple[Column | str, bool]) -> DataFrame:
     """The first ``k`` rows in the given order; Spark keeps only ``k`` rows a task."""
     return order(df, *keys).limit(k)

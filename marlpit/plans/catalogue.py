@@ -229,7 +229,7 @@ over("result_rows", "orders", "SELECT COUNT(*) AS n, COUNT(*) AS in_batches FROM
 over("explain", "orders", "SELECT TRUE AS filtered, TRUE AS pushed")(lambda d: explain_rows(d.filter("o_totalprice > 1000").select("o_orderkey"), "formatted").select(c("plan").contains("Filter").alias("filtered"), c("plan").contains("GreaterThan(o_totalprice,1000.0)").alias("pushed")))
 
 # the published benchmark's shapes
-over("bench_scan", "orders", "SELECT * FROM orders LIMIT 1000")(lambda d: R.limit(d, 1000))
+over("bench_scan", "orders", "SELECT * FROM orders LIMIT 1000")(lambda d: R.first_rows(d, 1000))
 over("bench_scan_ordered", "orders", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000")(lambda d: R.top_k(d, 1000, ("o_orderkey", True)))
 over("bench_filter", "orders", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 2000")(lambda d: R.select(d, c("o_totalprice") > 2000).select("o_orderkey", "o_totalprice"))
 over("bench_aggregate", "orders", "SELECT o_custkey, ROUND(SUM(o_totalprice), 2) AS s, COUNT(*) AS n FROM orders GROUP BY 1")(lambda d: R.aggregate(d, ["o_custkey"], [F.round(F.sum("o_totalprice"), 2).alias("s"), F.count(F.lit(1)).alias("n")]))

@@ -44,3 +44,19 @@ def test_whole_sorts(spark, duck, name):
     want = duck.sql(catalogue.SQL[f"{name}_whole"])
     assert [tuple(canon(x) for x in r) for r in df.collect()] == [tuple(canon(x) for x in r) for r in want.fetchall()]
     assert "LIMIT" not in catalogue.SQL[f"{name}_whole"] and df.columns == want.columns
+
+
+def test_scan_in_stored_order(spark, duck, tmp_path):
+    """The rows of a LIMIT without an order are the first of the first files, not those of the largest."""
+    folder, at = tmp_path / "orders.parquet", 0
+    folder.mkdir()
+    for name, n in (("a 1", 300), ("a+1", 0), ("a-1", 500), ("a1", 700)):
+        duck.sql(f"COPY (SELECT * FROM '{SF}/orders.parquet' LIMIT {n} OFFSET {at}) TO '{folder / name}.parquet' (FORMAT parquet)")
+        at += n
+    df = catalogue.QUERIES["bench_scan"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{folder}/*.parquet'")
+    want = con.sql(catalogue.SQL["bench_scan"]).fetchall()
+    assert len(want) == 1000 and [tuple(r) for r in df.collect()] == want
+    df.write.parquet(str(tmp_path / "out"))
+    assert rows(df.columns, spark.read.parquet(str(tmp_path / "out")).collect()) == rows(df.columns, want)

@@ -6,6 +6,7 @@ import subprocess
 import sys
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from marlpit.cli import Shell
 from marlpit.functions.expressions import cast_to, float_div, int_div, lit
@@ -132,6 +133,23 @@ def test_joins_without_keys(spark):
     assert len(rows(a, a.withColumnRenamed("x", "y"), "left")) == 4
 
 
+def test_first_rows(spark, tmp_path):
+    """In stored order over several files, row groups and tasks, for any number of rows; a column may have the metadata's name."""
+    for i, n in enumerate((7, 0, 4000, 9)):
+        path = str(tmp_path / f"t-{i}.parquet")
+        pq.write_table(pa.table({"_metadata": pa.array([i] * n, pa.int64()), "at": pa.array(range(n, 0, -1), pa.int64())}), path, row_group_size=100)
+    whole = [(i, at) for i, n in enumerate((7, 0, 4000, 9)) for at in range(n, 0, -1)]
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        df = spark.read.parquet(str(tmp_path))
+        assert df.rdd.getNumPartitions() > 4
+        for n in (0, 1, 7, 8, 350, 4007, 4008, 9000):
+            assert [tuple(r) for r in R.first_rows(df, n).collect()] == whole[:n]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+
+
 def test_two_phase_equals_one(spark):
     df = spark.createDataFrame([("a", 1), ("a", None), ("b", 5), (None, 7), ("a", 4)], "k string, v int")
     two = {tuple(r) for r in R.two_phase(df, ["k"], {"v": "v"}).collect()}
